@@ -176,5 +176,5 @@ def with_attributes(plan: DataFrame, attributes: Sequence[tuple]) -> DataFrame:
     """Drawing class and default height by the category of the object type."""
     from tallyspark.functions.text import object_category
 
-    table = literal_table(plan.sparkSession, attributes, S.struct("category string, cls string, height3d double"))
+    table = literal_table(plan.sparkSession, attributes, "category string, cls string, height3d double")
     return plan.withColumn("category", object_category(F.col("object_type"))).join(table, "category", "left")

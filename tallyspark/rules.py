@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark import schema as S
 
@@ -114,7 +113,7 @@ FALLBACK_DETECTIONS = (
 COUNTED_TYPES = ("door", "window", "column", "electrical", "furniture")
 
 
-def _literal(value: object, kind: T.DataType) -> str:
+def _literal(value: object, kind: str) -> str:
     if value is None:
         text = "NULL"
     elif isinstance(value, bool):
@@ -123,17 +122,18 @@ def _literal(value: object, kind: T.DataType) -> str:
         text = "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     else:
         text = repr(value)
-    return f"CAST({text} AS {kind.simpleString()})"
+    return f"CAST({text} AS {kind})"
 
 
-def literal_table(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType) -> DataFrame:
-    """A small table as a literal relation with exact statistics."""
+def literal_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """A small table of plain columns as a literal relation with exact statistics."""
     rows = list(rows)
-    names = ", ".join(f"`{f.name}`" for f in schema)
+    fields = [field.split() for field in schema.split(",")]
     if not rows:
         return spark.createDataFrame([], schema)
+    names = ", ".join(f"`{name}`" for name, _ in fields)
     body = ", ".join(
-        "(" + ", ".join(_literal(v, f.dataType) for v, f in zip(row, schema)) + ")" for row in rows
+        "(" + ", ".join(_literal(v, kind) for v, (_, kind) in zip(row, fields)) + ")" for row in rows
     )
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
 
@@ -155,9 +155,7 @@ class RuleSet:
         return literal_table(spark, self.overrides, S.OVERRIDE_ROW)
 
     def object_types_table(self, spark: SparkSession) -> DataFrame:
-        return literal_table(
-            spark, self.object_types, T.StructType.fromDDL("key string, label string, family string")
-        )
+        return literal_table(spark, self.object_types, "key string, label string, family string")
 
 
 def active_rules(boq_rules: DataFrame, version: str, counted_units: Sequence[str] = ("nos", "points")) -> DataFrame:

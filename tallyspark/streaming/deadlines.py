@@ -11,7 +11,6 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyspark.operators.ordered import neighbour, running_totals, time_block
@@ -153,7 +152,7 @@ def readiness_stream(reports: DataFrame, budget_seconds: float, terminal: Sequen
         .groupBy("drawing_id")
         .transformWithStateInPandas(
             Deadline(budget_seconds, terminal),
-            T.StructType.fromDDL("drawing_id long, outcome string"),
+            "drawing_id long, outcome string",
             "Append",
             "EventTime",
         )
@@ -163,5 +162,5 @@ def readiness_stream(reports: DataFrame, budget_seconds: float, terminal: Sequen
 def breaker_stream(log: DataFrame, least: int = 3) -> DataFrame:
     """Needs the RocksDB state store; `log` is a stream of (key, event_id, failed, ts)."""
     return log.groupBy("key").transformWithStateInPandas(
-        Breaker(least), T.StructType.fromDDL("key long, opened timestamp"), "Append", "None"
+        Breaker(least), "key long, opened timestamp", "Append", "None"
     )
