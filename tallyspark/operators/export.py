@@ -95,8 +95,16 @@ def bill_sheet(
 
 
 def write_sheets(sheet: DataFrame, path: str) -> None:
-    """One folder per project. Range partitioning keeps the lines in order over the
-    files and splits a large project over several of them."""
+    """Sheets of all projects as one table, in order within and across its files.
+
+    Range partitioning splits a large project over several files and puts many
+    small projects into one, so the number of files follows the data.
+    """
+    sheet.repartitionByRange("project_id", "line_no").sortWithinPartitions("project_id", "line_no").write.parquet(path)
+
+
+def write_text_sheets(sheet: DataFrame, path: str) -> None:
+    """Text files, one folder per project, for the projects that are handed out."""
     (
         sheet.repartitionByRange("project_id", "line_no")
         .sortWithinPartitions("project_id", "line_no")
@@ -106,13 +114,16 @@ def write_sheets(sheet: DataFrame, path: str) -> None:
     )
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """Bill lines back from written sheets, without preamble and total."""
-    schema = "trade string, description string, quantity string, unit string, rate string, amount string, project_id long"
-    raw = spark.read.schema(schema).option("quote", '"').option("escape", '"').csv(path)
-    return raw.where(F.col("amount").isNotNull() & (F.col("amount") != HEADER[-1]) & (F.coalesce("rate", F.lit("")) != "Grand Total")).select(
+_SHEET_ROW = "trade string, description string, quantity string, unit string, rate string, amount string"
+_QUOTING = {"quote": '"', "escape": '"'}
+
+
+def _bill_rows(rows: DataFrame) -> DataFrame:
+    """Bill lines out of split rows; preamble, header and total are passed over."""
+    kept = F.col("amount").isNotNull() & (F.col("amount") != HEADER[-1])
+    return rows.where(kept & (F.coalesce("rate", F.lit("")) != "Grand Total")).select(
         "project_id",
-        "trade",
+        F.nullif("trade", F.lit("")).alias("trade"),
         "description",
         F.col("quantity").try_cast("double").alias("quantity"),
         "unit",
@@ -121,6 +132,19 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse_sheets(sheet: DataFrame) -> DataFrame:
+    """Bill lines back from a table of sheet texts."""
+    split = sheet.where(F.col("line_no") >= PREAMBLE_LINES).select(
+        "project_id", F.from_csv("text", _SHEET_ROW, _QUOTING).alias("r")
+    )
+    return _bill_rows(split.select("project_id", "r.*"))
+
+
+def read_text_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """Bill lines back from written text files."""
+    return _bill_rows(spark.read.schema(_SHEET_ROW + ", project_id long").options(**_QUOTING).csv(path))
+
+
 def workbook(
     lines: DataFrame, purchases: DataFrame, projects: DataFrame, vendors: DataFrame
 ) -> Mapping[str, DataFrame]:

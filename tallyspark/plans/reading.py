@@ -172,8 +172,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     path = new_path(t.spark, "sheets")
-    export.write_sheets(export.bill_sheet(t.bill, t.projects, CLOCK), path)
-    return export.read_sheets(t.spark, path)
+    sheet = export.bill_sheet(t.bill, t.projects, CLOCK)
+    export.write_sheets(sheet, path)
+    return export.parse_sheets(t.spark.read.schema(sheet.schema).parquet(path))
 
 
 # ------------------------------------------------------------------ sinks
