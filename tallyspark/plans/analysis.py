@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers as N
+from tallyspark.functions.text import CATEGORY_ATTRIBUTES
 from tallyspark.operators import (
     boq,
     costing,
@@ -27,9 +28,8 @@ from tallyspark.plans.bindings import (
 )
 from tallyspark.plans.reading import _HEIGHTS_SQL, _ROLL_SQL, _CATEGORY_SQL, _kinds
 from tallyspark.plans.registry import indian_sql, query, stamp, stamp_sql
-from tallyspark.rules import TYPICAL_TRADES
-from tallyspark.functions.text import CATEGORY_ATTRIBUTES
-from tallyspark.sources import detections, files, fixtures
+from tallyspark.rules import TYPICAL_TRADES, literal_table
+from tallyspark.sources import cad, detections, files, fixtures
 from tallyspark.streaming import deadlines
 
 # ------------------------------------------------------------------ joins
@@ -256,7 +256,7 @@ def _(t: Tables):
 
 @query(
     "j13_fallback_detections",
-    """SELECT drawing_id, 'template' AS origin, CAST(20 AS BIGINT) AS objects, CAST(142 AS DOUBLE) AS estimate
+    """SELECT drawing_id, 'template' AS origin, CAST(20 AS BIGINT) AS objects, CAST(147 AS DOUBLE) AS estimate
       FROM (SELECT event_id AS drawing_id FROM events WHERE event_id % 5 IN (2, 3))
     UNION ALL SELECT drawing_id, 'response', count(*), CAST(sum(quantity_estimate) AS DOUBLE) FROM detections GROUP BY 1""",
     ("detections",),
@@ -808,8 +808,6 @@ def _(t: Tables):
     CAST(o_orderkey % 1000 AS DOUBLE) AS x FROM orders""",
 )
 def _(t: Tables):
-    from tallyspark.sources import cad
-
     return cad.entities(t.cad_lines, block_width=10_000).select("file", "entity_no", "x")
 
 
@@ -892,7 +890,7 @@ def _(t: Tables):
     ("lines",),
 )
 def _(t: Tables):
-    typical = t.spark.createDataFrame([(name,) for name in TYPICAL_TRADES], "trade string")
+    typical = literal_table(t.spark, [(name,) for name in TYPICAL_TRADES], "trade string")
     return typical.subtract(t.lines.select("trade"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import analysis, reading  # noqa: F401  (they register on import)
+from tallyspark.plans import analysis, formulas_and_streams, reading  # noqa: F401  (they register on import)
 from tallyspark.plans.registry import ORACLES, QUERIES
 
 

@@ -6,9 +6,11 @@ state per key; their timers fire on event time.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +18,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallyspark.operators.ordered import neighbour, running_totals, time_block
 from tallyspark.schema import TERMINAL_STATUSES
 
+# executors get the processors by value and need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def polling_budget(attempts: int = 30, first: float = 1.5, factor: float = 1.5, longest: float = 12.0) -> float:
     """Seconds a poller waits in all: growing delays up to a longest one."""
@@ -85,11 +90,11 @@ class Deadline(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("work", "started_ms LONG, done BOOLEAN")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         final: tuple[int, str] | None = None
         for batch in rows:
-            stamps = batch["ts"].map(lambda t: int(t.timestamp() * 1000))
+            stamps = batch["ts"].astype("datetime64[ms]").astype("int64")
             low = int(stamps.min())
             earliest = low if earliest is None else min(earliest, low)
             ended = batch["status"].isin(self.terminal)
@@ -107,7 +112,7 @@ class Deadline(StatefulProcessor):
             yield pd.DataFrame({"drawing_id": [key[0]], "outcome": [final[1]]})
         self.state.update((started, done))
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             _, done = self.state.get()
             if not done:
@@ -130,7 +135,7 @@ class Breaker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", "failures LONG")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run = self.state.get()[0] if self.state.exists() else 0
         opened = []
         for row in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
