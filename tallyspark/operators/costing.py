@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.numbers import money
 from tallyspark.functions.web import version_label
-from tallyspark.operators.ordered import id_block, neighbour, time_block
+from tallyspark.operators.boq import project_totals
+from tallyspark.operators.ordered import neighbours, running_totals, time_block
 from tallyspark.rules import RULESET_VERSION
 
 
@@ -71,8 +72,6 @@ def cost_snapshot(
     ruleset_version: str = RULESET_VERSION,
 ) -> DataFrame:
     """Rows to append to the cost versions, one per project."""
-    from tallyspark.operators.boq import project_totals
-
     clock = F.lit(at)
     figures = cost_rollup(project_totals(summary), p)
     return figures.join(breakdown(summary), "project_id").select(
@@ -103,23 +102,29 @@ def version_history(versions: DataFrame, seconds: int = 30 * 86_400) -> DataFram
     Numbered from the oldest in time blocks and turned round by the number of
     versions, so a project with very many versions is spread over its blocks.
     """
-    from tallyspark.operators.ordered import numbered
-
-    counted = numbered(
-        versions, ["project_id"], [F.col("created_at"), F.col("id")], time_block("created_at", seconds), "_n"
+    counted = running_totals(
+        versions,
+        ["project_id"],
+        [F.col("created_at"), F.col("id")],
+        time_block("created_at", seconds),
+        {"n": F.lit(1).cast("long")},
+        whole=True,
     )
-    sizes = versions.groupBy("project_id").agg(F.count("*").alias("_size"))
-    return counted.join(sizes, "project_id").select(
+    return counted.select(
         *versions.columns,
-        (F.col("_size") - F.col("_n") + 1).alias("position"),
-        (F.col("_size") == F.col("_n")).alias("active"),
+        (F.col("n_whole") - F.col("n") + 1).alias("position"),
+        (F.col("n_whole") == F.col("n")).alias("active"),
     )
 
 
 def version_changes(versions: DataFrame, seconds: int = 30 * 86_400) -> DataFrame:
     """Difference of each version's total from the version before it."""
-    near = neighbour(
-        versions, ["project_id"], ["created_at", "id"], time_block("created_at", seconds), {"total": "previous_total"}
+    near = neighbours(
+        versions,
+        ["project_id"],
+        ["created_at", "id"],
+        time_block("created_at", seconds),
+        previous={"total": "previous_total"},
     )
     return near.withColumn("change", money(F.col("total") - F.col("previous_total")))
 
@@ -129,8 +134,12 @@ def rate_history(rates: DataFrame, seconds: int = 90 * 86_400) -> DataFrame:
 
     Takes (material_id, valid_from, rate) with one row per material and time.
     """
-    block = time_block("valid_from", seconds)
-    keys, order = ["material_id"], ["valid_from"]
-    back = neighbour(rates, keys, order, block, {"rate": "previous_rate"})
-    both = neighbour(back, keys, order, block, {"valid_from": "valid_to"}, following=True)
-    return both.withColumn("is_current", F.col("valid_to").isNull())
+    near = neighbours(
+        rates,
+        ["material_id"],
+        ["valid_from"],
+        time_block("valid_from", seconds),
+        previous={"rate": "previous_rate"},
+        following={"valid_from": "valid_to"},
+    )
+    return near.withColumn("is_current", F.col("valid_to").isNull())

@@ -10,20 +10,22 @@ from tallyspark.functions.text import line_description
 from tallyspark.operators.textmatch import contains_pairs
 from tallyspark.rules import RULESET_VERSION, RuleSet
 
-MAX_INLINE_OVERRIDES = 200
+MAX_INLINE_OVERRIDES = 50
 _OVERRIDE_FIELDS = ("trade", "unit", "rate", "material", "per_area")
 
 
 def first_override(label: Column, overrides: list) -> Column:
-    """The first override whose key is inside the label, as a struct or null."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(o["key"]).alias("key"), *[F.lit(o[f]).alias(f) for f in _OVERRIDE_FIELDS])
-            for o in sorted(overrides, key=lambda o: o["priority"])
-        ]
-    )
+    """The first override whose key is inside the label, as a struct or null.
+
+    A chain of conditions over literals, which stays inside generated code.
+    """
     text = F.lower(F.coalesce(label, F.lit("")))
-    return F.get(F.filter(entries, lambda e: F.contains(text, e["key"])), F.lit(0))
+    chosen = None
+    for o in sorted(overrides, key=lambda o: o["priority"]):
+        rule = F.struct(F.lit(o["key"]).alias("key"), *[F.lit(o[f]).alias(f) for f in _OVERRIDE_FIELDS])
+        inside = F.contains(text, F.lit(o["key"]))
+        chosen = F.when(inside, rule) if chosen is None else chosen.when(inside, rule)
+    return chosen
 
 
 def with_override(

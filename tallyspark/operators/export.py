@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.numbers import cents, from_cents
@@ -61,17 +61,15 @@ def bill_sheet(
     ).select("project_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
     summary = trade_summary(lines)
-    # a trade's lines start after all lines of the trades before it
-    before = Window.partitionBy("project_id").orderBy("order_name").rowsBetween(Window.unboundedPreceding, -1)
-    named = lines.withColumn("order_name", F.coalesce("trade", F.lit("￿")))
-    starts = (
-        named.groupBy("project_id", "order_name")
-        .agg(F.count("*").alias("n"))
-        .select("project_id", "order_name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
+    # blocks follow the order of the sheet: trade by trade, then ranges of ids
+    named = lines.withColumn("order_name", F.coalesce("trade", F.lit("\uffff")))
     counted = numbered(
-        named, ["project_id", "order_name"], [F.col("id")], id_block("id", block_width), "n"
-    ).join(starts, ["project_id", "order_name"])
+        named,
+        ["project_id"],
+        [F.col("order_name"), F.col("id")],
+        F.struct("order_name", id_block("id", block_width).alias("ids")),
+        "n",
+    )
     texts = (
         F.coalesce("trade", F.lit("")),
         F.col("description"),
@@ -82,7 +80,7 @@ def bill_sheet(
     )
     body = counted.select(
         "project_id",
-        (F.col("start") + F.col("n") + PREAMBLE_LINES - 1).alias("line_no"),
+        (F.col("n") + PREAMBLE_LINES - 1).alias("line_no"),
         F.concat_ws(",", *[cell(t, not legacy) for t in texts]).alias("text"),
     )
     totals = project_totals(summary).select("project_id", "total", "lines")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions.numbers import leading_number, money
 
@@ -43,10 +44,49 @@ def replaced(old: DataFrame, new: DataFrame, scope: DataFrame, keys: Sequence[st
     return kept.unionByName(new.select(*old.columns))
 
 
-def replace_table(old_path: str, new: DataFrame, scope: DataFrame, keys: Sequence[str], out_path: str) -> None:
-    """Write the replaced table to a new path; readers switch to it when it is whole."""
-    old = new.sparkSession.read.parquet(old_path)
-    replaced(old, new, scope, keys).write.parquet(out_path)
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("project_id"), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
+    """Store a table in folders by project bucket.
+
+    The rebalance hint merges small pieces of a bucket into one file and splits
+    a bucket that one large project fills.
+    """
+    df.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table; the marker rows of rewritten buckets are left out."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
+    return rows.where(F.col("project_id").isNotNull())
+
+
+def replace_bucketed(path: str, new: DataFrame, scope: DataFrame, keys: Sequence[str], buckets: int) -> None:
+    """Exchange the rows in scope, rewriting only the buckets that hold its projects.
+
+    Each rewritten bucket gets one marker row without project. Dynamic overwrite
+    replaces the buckets it receives rows for, so without a marker a bucket that
+    became empty would keep its old rows.
+    """
+    spark = new.sparkSession
+    touched = scope.select(_bucket(buckets).alias("bucket")).distinct()
+    numbers = [r[0] for r in touched.collect()]  # at most `buckets` small numbers
+    if not numbers:
+        return
+    old = read_bucketed(spark, path, new.schema).where(F.col("bucket").isin(numbers)).drop("bucket")
+    result = replaced(old, new, scope, keys).withColumn("bucket", _bucket(buckets))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema]
+    markers = touched.select(*empty, "bucket")
+    (
+        result.unionByName(markers)
+        .hint("rebalance", "bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
 
 
 def updated(base: DataFrame, patches: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -29,30 +29,34 @@ def running_totals(
     order: Sequence[Column],
     block: Column,
     totals: Mapping[str, Column],
+    whole: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums per key; rows of a key need a total order."""
+    """Add inclusive running sums per key; rows of a key need a total order.
+
+    With `whole`, the sum over all rows of the key is added as `<name>_whole`.
+    """
     keys = list(keys)
     blocked = df.withColumn("_block", block)
     within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    every = earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sums = blocked.groupBy(*keys, "_block").agg(
         *[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()]
     )
     carried = sums.select(
         *keys,
         "_block",
-        *[
-            F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}")
-            for name in totals
-        ],
+        *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in totals],
+        *[F.sum(f"_sum_{name}").over(every).alias(f"{name}_whole") for name in totals if whole],
     )
     local = blocked.withColumns({name: F.sum(value).over(within) for name, value in totals.items()})
     joined = local.join(carried, [*keys, "_block"])
     return joined.select(
         *df.columns,
         *[(F.col(name) + F.col(f"_before_{name}")).alias(name) for name in totals],
+        *[f"{name}_whole" for name in totals if whole],
     )
 
 
@@ -63,31 +67,49 @@ def numbered(
     return running_totals(df, keys, order, block, {name: F.lit(1).cast("long")})
 
 
-def neighbour(
+def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     block: Column,
-    columns: Mapping[str, str],
-    following: bool = False,
+    previous: Mapping[str, str] = {},
+    following: Mapping[str, str] = {},
 ) -> DataFrame:
-    """Add the value of the row before (or after) under new names.
+    """Add values of the row before (lag) and the row after (lead) under new names.
 
-    `order` lists ascending columns that order the rows of a key totally.
+    `order` lists ascending columns that order the rows of a key totally;
+    `previous` and `following` map columns to the names of their shifted values.
     """
     keys = list(keys)
-    sources = list(columns)
     blocked = df.withColumn("_block", block)
     within = Window.partitionBy(*keys, "_block").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_block")
-    shift = F.lead if following else F.lag
-    edge = F.min_by if following else F.max_by
-    packed = F.struct(*[F.col(c) for c in sources])
-    edges = blocked.groupBy(*keys, "_block").agg(edge(packed, F.struct(*order)).alias("_edge"))
-    carried = edges.select(*keys, "_block", shift("_edge").over(across).alias("_carried"))
-    local = blocked.withColumn("_near", shift(packed).over(within))
+    moment = F.struct(*order)
+    sides = {
+        side: (F.struct(*[F.col(c) for c in names]), shift, edge, names)
+        for side, names, shift, edge in (
+            ("before", previous, F.lag, F.max_by),
+            ("after", following, F.lead, F.min_by),
+        )
+        if names
+    }
+    edges = blocked.groupBy(*keys, "_block").agg(
+        *[edge(packed, moment).alias(f"_edge_{side}") for side, (packed, _, edge, _) in sides.items()]
+    )
+    carried = edges.select(
+        *keys,
+        "_block",
+        *[shift(f"_edge_{side}").over(across).alias(f"_carried_{side}") for side, (_, shift, _, _) in sides.items()],
+    )
+    local = blocked.withColumns(
+        {f"_near_{side}": shift(packed).over(within) for side, (packed, shift, _, _) in sides.items()}
+    )
     joined = local.join(carried, [*keys, "_block"])
-    near = F.coalesce("_near", "_carried")
     return joined.select(
-        *df.columns, *[near.getField(source).alias(name) for source, name in columns.items()]
+        *df.columns,
+        *[
+            F.coalesce(f"_near_{side}", f"_carried_{side}").getField(column).alias(name)
+            for side, (_, _, _, names) in sides.items()
+            for column, name in names.items()
+        ],
     )

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +48,20 @@ def nearest_exact(queries: DataFrame, catalogue: DataFrame, k: int, max_queries:
     shuffle carries k rows per query and batch. More queries are taken in
     slices by hash, one pass over the catalogue for each.
     """
-    n = queries.count()
-    slices = max(1, -(-n // max_queries) * 2 if n > max_queries else 1)
-    parts = []
+    asked = queries.select("query_id", unit(F.col("query")).alias("query"))
+    rows = asked.limit(max_queries + 1).collect()
+    if len(rows) <= max_queries:
+        return _ranked(_nearest_slice(rows, catalogue, k), k)
+    slices = 2 * -(-queries.count() // max_queries)
+    scored = None
     for i in range(slices):
-        piece = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        parts.append(_nearest_slice(piece, catalogue, k))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        found = _nearest_slice(part.collect(), catalogue, k)
+        scored = found if scored is None else scored.unionByName(found)
     return _ranked(scored, k)
 
 
-def _nearest_slice(queries: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query_id", unit(F.col("query")).alias("query")).collect()
+def _nearest_slice(rows: list, catalogue: DataFrame, k: int) -> DataFrame:
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     matrix = np.array([r[1] for r in rows], dtype=np.float64)
 
@@ -88,10 +88,16 @@ def nearest_approximate(
 ) -> DataFrame:
     """The k most similar vectors among those that share a random-projection bucket.
 
-    Equal vectors are joined once and expanded afterwards, so a group of copies
-    does not fill a bucket.
+    Equal vectors are compared once. Of a group of copies only the first k can
+    be among the k results, so no more of them are kept.
     """
-    different = catalogue.groupBy("embedding").agg(F.min("vec_id").alias("group_id"))
+    copies = Window.partitionBy("embedding").orderBy("vec_id")
+    kept = (
+        catalogue.select("vec_id", "embedding")
+        .withColumn("copy", F.row_number().over(copies))
+        .where(F.col("copy") <= k)
+    )
+    different = kept.where(F.col("copy") == 1).select(F.col("vec_id").alias("group_id"), "embedding")
     prepared = different.select("group_id", unit(F.col("embedding")).alias("v"))
     asked = queries.select("query_id", unit(F.col("query")).alias("q"))
     lsh = BucketedRandomProjectionLSH(
@@ -102,7 +108,7 @@ def nearest_approximate(
 
     def buckets(df: DataFrame, key: str) -> DataFrame:
         hashed = model.transform(df).select(key, F.posexplode("hashes").alias("table", "h"))
-        return hashed.select(key, "table", F.get(_values(F.col("h")), F.lit(0)).cast("long").alias("bucket"))
+        return hashed.select(key, "table", F.get(vector_to_array("h"), F.lit(0)).cast("long").alias("bucket"))
 
     left = buckets(asked.withColumn("features", array_to_vector("q")), "query_id")
     right = buckets(features, "group_id")
@@ -111,13 +117,7 @@ def nearest_approximate(
     scored = pairs.join(asked, "query_id").join(prepared, "group_id").select(
         "query_id", "group_id", similarity.alias("similarity")
     )
-    members = catalogue.select("vec_id", "embedding").join(different, "embedding").select("vec_id", "group_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "group_id")
     groups = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    members = kept.join(different, "embedding").select("vec_id", "group_id")
     return _ranked(groups.join(members, "group_id").select("query_id", "vec_id", "similarity"), k)
-
-
-def _values(vector: Column) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(vector)

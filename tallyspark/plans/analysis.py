@@ -317,18 +317,22 @@ def _(t: Tables):
     return _compared(t)
 
 
+def _offers(t: Tables, flag: str):
+    rows = t.raw("lineitem").where(F.col("l_returnflag") == flag)
+    return rows.select(F.col("l_partkey").alias("material_id"), F.col("l_suppkey").alias("vendor_id"))
+
+
+def _offers_sql(flag: str) -> str:
+    return f"SELECT l_partkey AS material_id, l_suppkey AS vendor_id FROM lineitem WHERE l_returnflag = '{flag}'"
+
+
 @query(
     "j17_reconcile",
-    """(SELECT material_id, 'missing' AS side FROM (SELECT l_partkey AS material_id FROM lineitem WHERE l_returnflag = 'A'
-      EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N'))
-    UNION ALL (SELECT material_id, 'unexpected' FROM (SELECT l_partkey AS material_id FROM lineitem WHERE l_returnflag = 'N'
-      EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'))""",
+    f"""SELECT *, 'missing' AS side FROM ({_offers_sql('A')} EXCEPT {_offers_sql('N')})
+    UNION ALL SELECT *, 'unexpected' FROM ({_offers_sql('N')} EXCEPT {_offers_sql('A')})""",
 )
 def _(t: Tables):
-    rows = t.raw("lineitem").select(F.col("l_partkey").alias("material_id"), "l_returnflag")
-    return evaluate.reconcile(
-        rows.where(F.col("l_returnflag") == "A"), rows.where(F.col("l_returnflag") == "N"), ["material_id"]
-    )
+    return evaluate.reconcile(_offers(t, "A"), _offers(t, "N"), ["material_id", "vendor_id"])
 
 
 # ------------------------------------------------------------------ aggregations
@@ -886,12 +890,12 @@ def _(t: Tables):
 
 @query(
     "e01_trade_difference",
-    f"""SELECT trade FROM {_TYPICAL_SQL} EXCEPT SELECT trade FROM lines""",
-    ("lines",),
+    f"""SELECT trade FROM {_TYPICAL_SQL} EXCEPT SELECT trade FROM bill""",
+    ("bill",),
 )
 def _(t: Tables):
     typical = literal_table(t.spark, [(name,) for name in TYPICAL_TRADES], "trade string")
-    return typical.subtract(t.lines.select("trade"))
+    return typical.subtract(t.bill.select("trade"))
 
 
 @query("e02_distinct_values", "SELECT DISTINCT trade, unit FROM bill", ("bill",))
@@ -899,15 +903,9 @@ def _(t: Tables):
     return t.bill.select("trade", "unit").distinct()
 
 
-@query(
-    "e03_overlap",
-    "SELECT l_partkey AS material_id FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'",
-)
+@query("e03_overlap", f"{_offers_sql('A')} INTERSECT {_offers_sql('R')}")
 def _(t: Tables):
-    rows = t.raw("lineitem").select(F.col("l_partkey").alias("material_id"), "l_returnflag")
-    return evaluate.overlap(
-        rows.where(F.col("l_returnflag") == "A"), rows.where(F.col("l_returnflag") == "R"), ["material_id"]
-    )
+    return evaluate.overlap(_offers(t, "A"), _offers(t, "R"), ["material_id", "vendor_id"])
 
 
 @query(

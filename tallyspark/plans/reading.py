@@ -213,7 +213,10 @@ def _(t: Tables):
     new = maintenance.in_scope(old, scope, ["project_id"]).where(
         (F.col("trade") == "Civil") & (F.col("total") > 0)
     ).withColumn("total", N.money(F.col("total") * 1.5))
-    result = maintenance.replaced(old, new, scope, ["project_id"])
+    path = new_path(t.spark, "bill")
+    maintenance.write_bucketed(old, path, 16)
+    maintenance.replace_bucketed(path, new, scope, ["project_id"], 16)
+    result = maintenance.read_bucketed(t.spark, path, old.schema)
     return result.groupBy("project_id", "trade").agg(
         F.count("*").alias("lines"), N.sum_money(F.col("total")).alias("total")
     )

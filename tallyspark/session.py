@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "tallyspark", cpus: str | int | None = None) -> SparkSession:
@@ -49,14 +49,3 @@ def shared_root(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing is ever overwritten there."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
-
-    Used where several consumers need the same rows, so that a lost executor
-    re-reads the written table and does not recompute the lineage.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ one huge file from ending up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.ordered import id_block, numbered, running_totals
@@ -32,29 +32,39 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return counted.select("file", (F.col("n") - 1).alias("line_no"), "line")
 
 
-def code_pairs(lines: DataFrame) -> DataFrame:
-    """(file, pair_no, code, value) from numbered lines."""
-    pair = F.floor(F.col("line_no") / 2).cast("long")
-    first = F.col("line_no") % 2 == 0
-    return lines.groupBy("file", pair.alias("pair_no")).agg(
-        F.max(F.when(first, F.trim("line"))).alias("code"),
-        F.max(F.when(~first, F.rtrim("line"))).alias("value"),
+def code_pairs(lines: DataFrame, block_width: int = 1_000_000) -> DataFrame:
+    """(file, pair_no, code, value, block) from numbered lines.
+
+    A pair never crosses a block of even width, so each code finds its value as
+    the next line within (file, block).
+    """
+    within = Window.partitionBy("file", "block").orderBy("line_no")
+    near = lines.withColumn("block", id_block("line_no", 2 * block_width)).select(
+        "file",
+        "block",
+        "line_no",
+        F.trim("line").alias("code"),
+        F.lead("line").over(within).alias("value"),
+        F.lead("line_no").over(within).alias("value_no"),
+    )
+    return near.where(F.col("line_no") % 2 == 0).select(
+        "file",
+        F.floor(F.col("line_no") / 2).cast("long").alias("pair_no"),
+        "code",
+        F.when(F.col("value_no") == F.col("line_no") + 1, F.rtrim("value")).alias("value"),
+        "block",
     )
 
 
 def entities(lines: DataFrame, block_width: int = 1_000_000) -> DataFrame:
     """One row per entity, table entry or object of each file.
 
-    A running count of the code that opens an entity numbers the pairs.
+    A running count of the code that opens an entity numbers the pairs; it runs
+    in the blocks the pairs were made in.
     """
-    pairs = code_pairs(lines)
     opens = (F.col("code") == ENTITY).cast("long")
     counted = running_totals(
-        pairs,
-        ["file"],
-        [F.col("pair_no")],
-        id_block("pair_no", block_width),
-        {"entity_no": opens},
+        code_pairs(lines, block_width), ["file"], [F.col("pair_no")], F.col("block"), {"entity_no": opens}
     )
 
     def first(code: str) -> Column:

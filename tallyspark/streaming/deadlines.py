@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyspark.operators.ordered import neighbour, running_totals, time_block
+from tallyspark.operators.ordered import neighbours, running_totals, time_block
 from tallyspark.schema import TERMINAL_STATUSES
 
 # executors get the processors by value and need no copy of this package
@@ -47,8 +47,8 @@ def readiness(reports: DataFrame, budget_seconds: float, terminal: Sequence[str]
 
 def stuck_work(log: DataFrame, started: str, seconds: float = 300.0, block_seconds: int = 86_400) -> DataFrame:
     """Started entries whose key shows no later entry within the allowed time."""
-    near = neighbour(
-        log, ["key"], ["ts", "event_id"], time_block("ts", block_seconds), {"ts": "next_ts"}, following=True
+    near = neighbours(
+        log, ["key"], ["ts", "event_id"], time_block("ts", block_seconds), following={"ts": "next_ts"}
     )
     late = F.col("next_ts").isNull() | (F.col("next_ts") > _after(F.col("ts"), seconds))
     return near.where((F.col("status") == started) & late).select("key", "event_id", "ts", "next_ts")
