@@ -22,11 +22,13 @@ def parsed_objects(text: Column) -> Column:
     """Elements of the array in a text; null when the bracketed part is not JSON.
 
     The part is wrapped in one more array, so that anything after its end makes
-    the whole invalid instead of being passed over.
+    the whole invalid instead of being passed over. The text is parsed once per
+    row: the check of the outer array happens inside `filter`.
     """
     wrapped = F.concat(F.lit("["), array_text(text), F.lit("]"))
     outer = F.from_json(wrapped, f"array<array<{S.DETECTION}>>", _STRICT)
-    return F.when(F.size(outer) == 1, F.get(outer, F.lit(0)))
+    single = F.get(F.filter(F.array(outer), lambda a: F.size(a) == 1), F.lit(0))
+    return F.get(single, F.lit(0))
 
 
 def explode_detections(responses: DataFrame, text: str = "response", first: int = 400) -> DataFrame:
