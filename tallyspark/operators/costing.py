@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.numbers import money
 from tallyspark.functions.web import version_label
 from tallyspark.operators.boq import project_totals
-from tallyspark.operators.ordered import neighbours, running_totals, time_block
+from tallyspark.operators.ordered import fitting_time_block, neighbours, running_totals
 from tallyspark.rules import RULESET_VERSION
 
 
@@ -46,10 +47,12 @@ def cost_columns(materials: Column, p: CostParameters = CostParameters()) -> dic
     }
 
 
-def cost_rollup(totals: DataFrame, p: CostParameters = CostParameters()) -> DataFrame:
+def cost_rollup(
+    totals: DataFrame, p: CostParameters = CostParameters(), keep: Sequence[str] = ()
+) -> DataFrame:
     """Cost build-up per project from its materials total (`project_id`, `total`)."""
     figures = cost_columns(F.col("total"), p)
-    return totals.select("project_id", *[c.alias(n) for n, c in figures.items()])
+    return totals.select("project_id", *keep, *[c.alias(n) for n, c in figures.items()])
 
 
 def breakdown(summary: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     )
 
 
-def version_history(versions: DataFrame, seconds: int = 30 * 86_400) -> DataFrame:
+def version_history(versions: DataFrame, seconds: int | None = None) -> DataFrame:
     """Versions numbered from the newest on, the newest marked as active.
 
     Numbered from the oldest in time blocks and turned round by the number of
@@ -106,7 +109,7 @@ def version_history(versions: DataFrame, seconds: int = 30 * 86_400) -> DataFram
         versions,
         ["project_id"],
         [F.col("created_at"), F.col("id")],
-        time_block("created_at", seconds),
+        fitting_time_block(versions, "created_at", seconds),
         {"n": F.lit(1).cast("long")},
         whole=True,
     )
@@ -117,19 +120,19 @@ def version_history(versions: DataFrame, seconds: int = 30 * 86_400) -> DataFram
     )
 
 
-def version_changes(versions: DataFrame, seconds: int = 30 * 86_400) -> DataFrame:
+def version_changes(versions: DataFrame, seconds: int | None = None) -> DataFrame:
     """Difference of each version's total from the version before it."""
     near = neighbours(
         versions,
         ["project_id"],
         ["created_at", "id"],
-        time_block("created_at", seconds),
+        fitting_time_block(versions, "created_at", seconds),
         previous={"total": "previous_total"},
     )
     return near.withColumn("change", money(F.col("total") - F.col("previous_total")))
 
 
-def rate_history(rates: DataFrame, seconds: int = 90 * 86_400) -> DataFrame:
+def rate_history(rates: DataFrame, seconds: int | None = None) -> DataFrame:
     """Validity ranges of material rates: previous rate, and valid until the next one.
 
     Takes (material_id, valid_from, rate) with one row per material and time.
@@ -138,7 +141,7 @@ def rate_history(rates: DataFrame, seconds: int = 90 * 86_400) -> DataFrame:
         rates,
         ["material_id"],
         ["valid_from"],
-        time_block("valid_from", seconds),
+        fitting_time_block(rates, "valid_from", seconds),
         previous={"rate": "previous_rate"},
         following={"valid_from": "valid_to"},
     )

@@ -144,22 +144,31 @@ def area_check(rooms: DataFrame, stated: DataFrame, key: str, tolerance_pct: flo
     return tolerance_gate(joined.withColumn("actual", F.coalesce("actual", F.lit(0.0))), tolerance_pct)
 
 
-def reconcile(expected: DataFrame, actual: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values only one side has, each once; nothing is left over when the sets agree.
+def _sides(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each value of either side once, flagged by the sides that have it.
 
-    One aggregation over both sides in place of two set differences.
+    One aggregation over both sides: repeated values are reduced before they are
+    shuffled, which set operations by semi or anti join do not do.
     """
-    both = expected.select(*columns, F.lit(1).alias("e"), F.lit(0).alias("a")).unionByName(
-        actual.select(*columns, F.lit(0).alias("e"), F.lit(1).alias("a"))
+    both = left.select(*columns, F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(
+        right.select(*columns, F.lit(False).alias("l"), F.lit(True).alias("r"))
     )
-    sides = both.groupBy(*columns).agg(F.max("e").alias("e"), F.max("a").alias("a"))
-    return sides.where(F.col("e") != F.col("a")).select(
-        *columns, F.when(F.col("e") == 1, "missing").otherwise("unexpected").alias("side")
+    return both.groupBy(*columns).agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r"))
+
+
+def reconcile(expected: DataFrame, actual: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Values only one side has; nothing is left over when the sets agree."""
+    return _sides(expected, actual, columns).where(F.col("l") != F.col("r")).select(
+        *columns, F.when(F.col("l"), "missing").otherwise("unexpected").alias("side")
     )
 
 
 def overlap(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return left.select(*columns).intersect(right.select(*columns))
+    return _sides(left, right, columns).where(F.col("l") & F.col("r")).select(*columns)
+
+
+def difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return _sides(left, right, columns).where(F.col("l") & ~F.col("r")).select(*columns)
 
 
 def status_counts(log: DataFrame, status: str = "status") -> DataFrame:

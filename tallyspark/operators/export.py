@@ -151,13 +151,12 @@ def workbook(
     from tallyspark.operators.materials import materials_summary
 
     summary = trade_summary(lines)
-    totals = project_totals(summary)
-    figures = cost_rollup(totals).withColumnRenamed("total", "grand_total")
+    figures = cost_rollup(project_totals(summary), keep=("trades", "lines"))
     bought = purchases.groupBy("project_id", "vendor_name").agg(
         F.count("*").alias("lines"), from_cents(F.sum(cents(F.col("total")))).alias("total")
     )
     return {
-        "summary": totals.select("project_id", "trades", "lines").join(figures, "project_id"),
+        "summary": figures.withColumnRenamed("total", "grand_total"),
         "detailed": lines.join(
             projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id", "left"
         ),

@@ -23,6 +23,25 @@ def time_block(column: str, seconds: int = 86_400) -> Column:
     return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / F.lit(seconds)).cast("long")
 
 
+def fitting_width(df: DataFrame, value: Column, rows: int = 1_000_000) -> int:
+    """Width of value ranges that hold about `rows` rows of the whole table each.
+
+    One aggregate over the column; a key can then never bring much more than
+    `rows` rows into a block, unless rows crowd at single values.
+    """
+    low, high, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    if not n:
+        return 1
+    return max(1, int((high - low + 1) * rows // n))
+
+
+def fitting_time_block(df: DataFrame, column: str, seconds: int | None = None) -> Column:
+    """Time blocks of the given length, or of a length that fits the table."""
+    if seconds is None:
+        seconds = fitting_width(df, F.unix_seconds(F.col(column).cast("timestamp")))
+    return time_block(column, seconds)
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],

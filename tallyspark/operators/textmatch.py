@@ -39,7 +39,8 @@ def contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     text = texts.select("text").where(F.col("text").isNotNull()).distinct()
     pattern = patterns.select("pattern").where(F.length("pattern") > 0).distinct()
     pieces = text.select("text", F.explode(_grams(F.col("text"))).alias("gram"))
-    counts = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+    # the planner takes exploded rows for far fewer than they are; never broadcast them
+    counts = pieces.groupBy("gram").agg(F.count("*").alias("n")).hint("merge")
     wanted = pattern.select("pattern", F.explode(_key_grams(F.col("pattern"))).alias("gram"))
     keyed = (
         wanted.join(counts, "gram", "left")
@@ -47,7 +48,7 @@ def contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     )
     return (
-        pieces.join(keyed, "gram")
+        pieces.hint("merge").join(keyed, "gram")
         .where(F.contains("text", F.col("pattern")))
         .select("text", "pattern")
     )

@@ -43,9 +43,9 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 def nearest_exact(queries: DataFrame, catalogue: DataFrame, k: int, max_queries: int = MAX_QUERIES) -> DataFrame:
     """The k most similar catalogue vectors of every query, by exact cosine.
 
-    A checked, small number of queries travels to the tasks; each Arrow batch of
-    the catalogue is reduced to k rows per query in one matrix product, so the
-    shuffle carries k rows per query and batch. More queries are taken in
+    A checked, small number of queries travels to the tasks; each task reduces its
+    part of the catalogue to k rows per query, one matrix product per Arrow batch,
+    so the shuffle carries k rows per query and task. More queries are taken in
     slices by hash, one pass over the catalogue for each.
     """
     asked = queries.select("query_id", unit(F.col("query")).alias("query"))
@@ -66,17 +66,23 @@ def _nearest_slice(rows: list, catalogue: DataFrame, k: int) -> DataFrame:
     matrix = np.array([r[1] for r in rows], dtype=np.float64)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = np.empty((len(ids), 0))
+        keys = np.empty((len(ids), 0), dtype=np.int64)
         for batch in batches:
             if len(ids) == 0 or len(batch) == 0:
                 continue
             vectors = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            lengths = np.linalg.norm(vectors, axis=1)
-            vectors = np.divide(vectors, lengths[:, None], out=np.zeros_like(vectors), where=lengths[:, None] > 0)
-            scores = np.floor(matrix @ vectors.T * 1e6 + 0.5) / 1e6
-            keys = batch["vec_id"].to_numpy()
-            for q in range(len(ids)):
-                order = np.lexsort((keys, -scores[q]))[:k]
-                yield pd.DataFrame({"query_id": ids[q], "vec_id": keys[order], "similarity": scores[q][order]})
+            lengths = np.linalg.norm(vectors, axis=1)[:, None]
+            vectors = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
+            found = np.floor(matrix @ vectors.T * 1e6 + 0.5) / 1e6
+            scores = np.hstack([scores, found])
+            keys = np.hstack([keys, np.broadcast_to(batch["vec_id"].to_numpy(), found.shape)])
+            order = np.lexsort((keys, -scores), axis=1)[:, :k]
+            scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+        if scores.size:
+            yield pd.DataFrame(
+                {"query_id": np.repeat(ids, scores.shape[1]), "vec_id": keys.ravel(), "similarity": scores.ravel()}
+            )
 
     return catalogue.select("vec_id", "embedding").mapInPandas(
         best, "query_id long, vec_id long, similarity double"

@@ -895,7 +895,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     typical = literal_table(t.spark, [(name,) for name in TYPICAL_TRADES], "trade string")
-    return typical.subtract(t.bill.select("trade"))
+    return evaluate.difference(typical, t.bill, ["trade"])
 
 
 @query("e02_distinct_values", "SELECT DISTINCT trade, unit FROM bill", ("bill",))

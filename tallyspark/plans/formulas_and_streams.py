@@ -353,6 +353,20 @@ def _(t: Tables):
     return stuck.withColumns({c: stamp(c) for c in ("ts", "next_ts")})
 
 
+# what the watermark has not passed is still open when the stream ends
+@query(
+    "st07_stuck_work_stream",
+    """SELECT key, event_id FROM (SELECT *, lead(epoch_ms(ts)) OVER (PARTITION BY key ORDER BY ts, event_id) AS next_ms FROM log)
+    WHERE route = 'signup' AND (next_ms > epoch_ms(ts) + 300000
+      OR next_ms IS NULL AND epoch_ms(ts) + 300000 <= (SELECT max(epoch_ms(ts)) FROM log) - 10000)""",
+    ("log",),
+)
+def _(t: Tables):
+    runs.use_rocksdb(t.spark)
+    log = t.as_log(_event_stream(t)).select("key", "event_id", F.col("route").alias("status"), "ts")
+    return runs.appended(deadlines.stuck_work_stream(log, "signup"), "stuck")
+
+
 @query(
     "st08_first_uploads",
     "SELECT DISTINCT sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents",
@@ -363,8 +377,9 @@ def _(t: Tables):
         F.sha2("text", 256).alias("sha256"),
         F.octet_length("text").cast("long").alias("length"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("ts"),
+        F.col("doc_id").alias("path"),
     )
-    return runs.appended(monitors.first_uploads(uploads, "3650 days"), "uploads").drop("ts")
+    return runs.appended(monitors.first_uploads(uploads, "3650 days"), "uploads").drop("ts", "path")
 
 
 @query(

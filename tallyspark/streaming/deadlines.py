@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyspark.operators.ordered import neighbours, running_totals, time_block
+from tallyspark.operators.ordered import fitting_time_block, neighbours, running_totals
 from tallyspark.schema import TERMINAL_STATUSES
 
 # executors get the processors by value and need no copy of this package
@@ -45,16 +45,16 @@ def readiness(reports: DataFrame, budget_seconds: float, terminal: Sequence[str]
     )
 
 
-def stuck_work(log: DataFrame, started: str, seconds: float = 300.0, block_seconds: int = 86_400) -> DataFrame:
+def stuck_work(log: DataFrame, started: str, seconds: float = 300.0, block_seconds: int | None = None) -> DataFrame:
     """Started entries whose key shows no later entry within the allowed time."""
     near = neighbours(
-        log, ["key"], ["ts", "event_id"], time_block("ts", block_seconds), following={"ts": "next_ts"}
+        log, ["key"], ["ts", "event_id"], fitting_time_block(log, "ts", block_seconds), following={"ts": "next_ts"}
     )
     late = F.col("next_ts").isNull() | (F.col("next_ts") > _after(F.col("ts"), seconds))
     return near.where((F.col("status") == started) & late).select("key", "event_id", "ts", "next_ts")
 
 
-def failure_runs(log: DataFrame, least: int = 3, cool_down_seconds: float = 30.0, block_seconds: int = 86_400) -> DataFrame:
+def failure_runs(log: DataFrame, least: int = 3, cool_down_seconds: float = 30.0, block_seconds: int | None = None) -> DataFrame:
     """Runs of consecutive failures per key, and when the breaker opened and closed.
 
     Failures between two successes share the difference of two running counts.
@@ -63,7 +63,7 @@ def failure_runs(log: DataFrame, least: int = 3, cool_down_seconds: float = 30.0
         log,
         ["key"],
         [F.col("ts"), F.col("event_id")],
-        time_block("ts", block_seconds),
+        fitting_time_block(log, "ts", block_seconds),
         {"n_all": F.lit(1).cast("long"), "n_failed": F.col("failed").cast("long")},
     )
     failed = counted.where(F.col("failed")).select("key", "ts", "n_failed", (F.col("n_all") - F.col("n_failed")).alias("island"))
@@ -123,6 +123,49 @@ class Deadline(StatefulProcessor):
         pass
 
 
+class StuckWork(StatefulProcessor):
+    """Emits started entries that no entry of their key follows within the budget.
+
+    A late follower shows it at once; otherwise an event-time timer does. Rows of
+    a key are taken in time order within each micro-batch.
+    """
+
+    def __init__(self, started: str, budget_seconds: float):
+        self.started = started
+        self.budget_ms = int(budget_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "event_id LONG, ts_ms LONG")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        table = pd.concat(rows)
+        table["ms"] = table["ts"].astype("datetime64[ms]").astype("int64")
+        waiting = self.open.get() if self.open.exists() else None
+        stuck = []
+        for row in table.sort_values(["ts", "event_id"]).itertuples():
+            if waiting and row.ms > waiting[1] + self.budget_ms:
+                stuck.append(waiting[0])
+            waiting = (int(row.event_id), int(row.ms)) if row.status == self.started else None
+        if waiting:
+            self.open.update(waiting)
+            self.handle.registerTimer(waiting[1] + self.budget_ms)
+        else:
+            self.open.clear()
+        if stuck:
+            yield pd.DataFrame({"key": [key[0]] * len(stuck), "event_id": stuck})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            event_id, ms = self.open.get()
+            if ms + self.budget_ms <= expiredTimerInfo.getExpiryTimeInMs():
+                self.open.clear()
+                yield pd.DataFrame({"key": [key[0]], "event_id": [event_id]})
+
+    def close(self) -> None:
+        pass
+
+
 class Breaker(StatefulProcessor):
     """Emits when a key has failed the given number of times in a row.
 
@@ -164,6 +207,17 @@ def readiness_stream(reports: DataFrame, budget_seconds: float, terminal: Sequen
     )
 
 
+def stuck_work_stream(log: DataFrame, started: str, seconds: float = 300.0, delay: str = "10 seconds") -> DataFrame:
+    """Needs the RocksDB state store; `log` is a stream of (key, event_id, status, ts)."""
+    return (
+        log.withWatermark("ts", delay)
+        .groupBy("key")
+        .transformWithStateInPandas(
+            StuckWork(started, seconds), "key long, event_id long", "Append", "EventTime"
+        )
+    )
+
+
 def breaker_stream(log: DataFrame, least: int = 3) -> DataFrame:
     """Needs the RocksDB state store; `log` is a stream of (key, event_id, failed, ts)."""
     return log.groupBy("key").transformWithStateInPandas(

@@ -54,9 +54,11 @@ def expand_batches(
     path = new_path(spark, f"lines-{name}")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         scope = batch.groupBy("project_id", "drawing_id").agg(F.count("*").alias("objects"))
         scope.write.mode("overwrite").parquet(f"{path}/scope/batch_id={batch_id}")
         expand(batch).write.mode("overwrite").parquet(f"{path}/lines/batch_id={batch_id}")
+        batch.unpersist()
 
     return handle, path
 

@@ -96,6 +96,17 @@ def over_limit(log: DataFrame, limit: int, window: str = "1 minute", slide: str
     )
 
 
-def first_uploads(uploads: DataFrame, delay: str = "60 minutes") -> DataFrame:
-    """Uploads without repeats of a content within the watermark delay."""
-    return uploads.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sha256"])
+def first_uploads(uploads: DataFrame, delay: str = "60 minutes", spread_by: str = "path", parts: int = 64) -> DataFrame:
+    """Uploads without repeats of a content within the watermark delay.
+
+    Repeats are removed in two steps, first within parts of each content, so that
+    a content with very many copies is not shuffled to one task.
+    """
+    part = F.pmod(F.xxhash64(spread_by), F.lit(parts))
+    return (
+        uploads.withWatermark("ts", delay)
+        .withColumn("_part", part)
+        .dropDuplicatesWithinWatermark(["sha256", "_part"])
+        .dropDuplicatesWithinWatermark(["sha256"])
+        .drop("_part")
+    )
