@@ -8,13 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.numbers import cents, from_cents, half_up, indian_digits
+from tallyspark.operators.boq import top_trades
 from tallyspark.rules import TYPICAL_TRADES
 
+# Fixed texts of findings; {} stands for the trade.
 RUPEE = "₹"
+MISSING_REASON = "No items detected in {}. Typical interior fit-out includes this trade."
+SAVING_SHARE = 0.05
+SAVING_CHANGE = "Switch one premium material in {} to a standard alternative (~5% saving)."
+
+
+def _filled(text: str) -> Column:
+    before, after = text.split("{}")
+    return F.concat(F.lit(before), F.col("trade"), F.lit(after))
 
 
 def missing_trades(
@@ -36,9 +46,7 @@ def missing_trades(
     return gaps.select(
         "project_id",
         "trade",
-        F.concat(
-            F.lit("No items detected in "), "trade", F.lit(". Typical interior fit-out includes this trade.")
-        ).alias("reason"),
+        _filled(MISSING_REASON).alias("reason"),
         F.lit(1).cast("long").alias("suggested_qty"),
         F.lit("lot").alias("unit"),
     )
@@ -78,10 +86,8 @@ def absolute_outliers(summary: DataFrame, limit: float = 700_000.0, high: float
     )
 
 
-def value_engineering(summary: DataFrame, k: int = 3, share: float = 0.05) -> DataFrame:
+def value_engineering(summary: DataFrame, k: int = 3, share: float = SAVING_SHARE) -> DataFrame:
     """A saving on each of the largest trades; the sum is rounded from unrounded parts."""
-    from tallyspark.operators.boq import top_trades
-
     top = top_trades(summary, k).withColumn("part", F.col("total") * F.lit(share))
     project = Window.partitionBy("project_id").orderBy("rank").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -90,11 +96,7 @@ def value_engineering(summary: DataFrame, k: int = 3, share: float = 0.05) -> Da
         "project_id",
         "rank",
         "trade",
-        F.concat(
-            F.lit("Switch one premium material in "),
-            "trade",
-            F.format_string(" to a standard alternative (~%d%% saving).", F.lit(round(share * 100))),
-        ).alias("change"),
+        _filled(SAVING_CHANGE).alias("change"),
         half_up(F.col("part")).alias("saving"),
         half_up(F.sum("part").over(project)).alias("total_saving"),
     )

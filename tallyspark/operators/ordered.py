@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 
 def id_block(column: str, width: int = 1_000_000) -> Column:
-    return F.floor(F.col(column) / F.lit(width)).cast("long")
+    """The first id of the range of `width` ids a row is in."""
+    return (F.col(column) - F.pmod(F.col(column), F.lit(width))).cast("long")
 
 
 def time_block(column: str, seconds: int = 86_400) -> Column:

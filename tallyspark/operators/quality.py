@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark import schema as S
+
 # File types taken for drawings, their size limits and first bytes.
 UPLOAD_TYPES = ("dxf", "pdf", "png", "jpg", "jpeg", "tiff")
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -37,6 +39,23 @@ def outside(column: str, allowed: Sequence[str]) -> Column:
     return F.col(column).isNotNull() & ~F.col(column).isin(*allowed)
 
 
+def state_violations(projects: DataFrame, drawings: DataFrame, objects: DataFrame) -> DataFrame:
+    """Rows of the stored tables whose state is none of the allowed ones."""
+    parts = [
+        violations(projects, "id", {"project status": outside("status", S.PROJECT_STATUSES)}),
+        violations(drawings, "id", {"drawing status": outside("status", S.DRAWING_STATUSES)}),
+        violations(
+            objects,
+            "id",
+            {
+                "detection source": outside("detection_source", S.DETECTION_SOURCES),
+                "confidence": ~F.col("confidence").between(0, 1),
+            },
+        ),
+    ]
+    return all_of(parts)
+
+
 def duplicated(df: DataFrame, column: str, rule: str) -> DataFrame:
     counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     return counted.where(F.col("n") > 1).select(

@@ -26,6 +26,7 @@ from tallyspark.plans.bindings import (
     money_sql,
     sum_money_sql,
 )
+from tallyspark.plans.estimate import estimate, overview
 from tallyspark.plans.reading import _HEIGHTS_SQL, _ROLL_SQL, _CATEGORY_SQL, _kinds
 from tallyspark.plans.registry import indian_sql, query, stamp, stamp_sql
 from tallyspark.rules import TYPICAL_TRADES, literal_table
@@ -697,6 +698,26 @@ def _(t: Tables):
     return derive.project_figures(t.projects, t.drawings, boq.project_totals(boq.trade_summary(t.lines)))
 
 
+@query(
+    "full_estimate",
+    "WITH " + _SUMMARY_SQL.format(source="lines")
+    + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY total DESC, trade) AS rank,
+        CAST(sum(CAST(floor(total * 100.0 + 0.5) AS BIGINT)) OVER w AS DOUBLE) / 100.0 / count(*) OVER w AS average
+      FROM summary WINDOW w AS (PARTITION BY project_id)),
+    gaps AS (SELECT p.id AS project_id, count(*) AS missing FROM projects p CROSS JOIN {_TYPICAL_SQL}
+      WHERE NOT EXISTS (SELECT 1 FROM summary s WHERE s.project_id = p.id AND s.trade = v.trade) GROUP BY 1),
+    costs AS (SELECT project_id, {_ROLL_SQL.format(source='lines')})
+    SELECT c.project_id, CAST(count(*) AS BIGINT) AS trades, CAST(sum(r.count) AS BIGINT) AS lines, any_value(c.materials_total) AS materials_total,
+    any_value(c.total) AS total, CAST(coalesce(any_value(g.missing), 0) AS BIGINT) AS missing,
+    CAST(count_if(r.total > r.average * 3) AS BIGINT) AS outliers,
+    {half_up_sql('sum(r.total * 0.05 ORDER BY r.rank) FILTER (WHERE r.rank <= 3)')} AS total_saving
+    FROM costs c JOIN ranked r ON r.project_id = c.project_id LEFT JOIN gaps g ON g.project_id = c.project_id GROUP BY 1""",
+    ("lines", "projects"),
+)
+def _(t: Tables):
+    return overview(estimate(t.objects, t.projects, BOUND_RULES, buckets=8))
+
+
 # ------------------------------------------------------------------ windows
 
 

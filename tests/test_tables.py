@@ -11,7 +11,7 @@ from tallyspark.operators import evaluate, ingest, maintenance, materials, quali
 from tallyspark.rules import active_rules, keyword_overrides
 from tallyspark.operators.expand import with_override
 from tallyspark.session import shared_root
-from tallyspark.sources import cad, detections, files, fixtures
+from tallyspark.sources import cad, detections, files, fixtures, tables
 
 MATERIALS = (
     (1, "Saint Gobain Glass 10mm", "Saint Gobain", "Glass", 320.0, 18.0, True),
@@ -253,6 +253,26 @@ def test_verdicts_and_sets(spark):
     assert {tuple(r) for r in evaluate.reconcile(left, right, ["x"]).collect()} == {("a", "missing"), ("c", "unexpected")}
 
 
+def test_stored_tables(spark, tmp_path):
+    for name in tables.TABLES:
+        tables.append_rows(spark.createDataFrame([(1,)], "id long"), str(tmp_path), name)
+        assert tables.read_table(spark, str(tmp_path), name).count() == 1
+    lines = spark.createDataFrame([(2, 7, "a", 2.5, 10.125)], "id long, project_id long, description string, quantity double, total double")
+    tables.append_rows(lines, str(tmp_path), "boq_items")
+    row = tables.read_table(spark, str(tmp_path), "boq_items", ["id", "quantity", "total"]).where("id = 2").first()
+    assert (float(row["quantity"]), float(row["total"])) == (2.5, 10.13)
+    with pytest.raises(ValueError, match="no columns"):
+        tables.append_rows(lines.withColumn("odd", F.lit(1)), str(tmp_path), "boq_items")
+
+
+def test_state_violations(spark):
+    projects = spark.createDataFrame([(1, "draft"), (2, "lost")], "id long, status string")
+    drawings = spark.createDataFrame([(1, "error"), (2, None), (3, "sent")], "id long, status string")
+    objects = spark.createDataFrame([(1, "ai", 0.5), (2, "x", 1.5), (3, None, None)], "id long, detection_source string, confidence double")
+    got = {tuple(r) for r in quality.state_violations(projects, drawings, objects).collect()}
+    assert got == {("2", "project status"), ("3", "drawing status"), ("2", "detection source"), ("2", "confidence")}
+
+
 class _Session:
     """The parts of a session that name the shared folder."""
 
