@@ -137,14 +137,13 @@ def _(t: Tables):
     f"""SELECT b.id, m.id AS material_id, CASE WHEN m.id IS NULL THEN b.material_name ELSE trim(m.brand || ' ' || m.name) END AS material_name,
     coalesce(m.rate, b.rate) AS rate, CASE WHEN m.id IS NULL THEN b.total ELSE {money_sql('b.quantity * m.rate')} END AS total,
     CASE WHEN m.id IS NULL THEN b.total ELSE {money_sql('b.quantity * m.rate')} * (1.0 + m.gst_rate / 100.0) END AS total_with_tax
-    FROM bill b LEFT JOIN (SELECT l_orderkey, max(l_partkey) AS pk FROM lineitem WHERE l_linenumber > 5 GROUP BY 1) c ON c.l_orderkey = b.id
+    FROM bill b LEFT JOIN (SELECT l_orderkey, max(l_partkey) AS pk FROM lineitem GROUP BY 1) c ON c.l_orderkey = b.id
     LEFT JOIN materials m ON m.id = c.pk""",
     ("bill", "materials"),
 )
 def _(t: Tables):
     choices = (
         t.raw("lineitem")
-        .where(F.col("l_linenumber") > 5)
         .groupBy(F.col("l_orderkey").alias("boq_item_id"))
         .agg(F.max("l_partkey").alias("material_id"))
     )
@@ -198,7 +197,7 @@ def _(t: Tables):
     """SELECT reference, CAST(key AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS rows FROM (
       SELECT 'drawings.project' AS reference, project_id AS key FROM drawings WHERE project_id NOT IN (SELECT id FROM projects WHERE status <> 'sent')
       UNION ALL SELECT 'lines.project', project_id FROM bill WHERE project_id NOT IN (SELECT id FROM projects WHERE status <> 'sent')
-      UNION ALL SELECT 'lines.rule', rule_id FROM bill WHERE rule_id > 30
+      UNION ALL SELECT 'lines.rule', rule_id FROM bill WHERE rule_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 9)
       UNION ALL SELECT 'objects.drawing', drawing_id FROM objects WHERE drawing_id NOT IN (SELECT id FROM drawings WHERE status <> 'uploaded')
       UNION ALL SELECT 'versions.project', project_id FROM versions WHERE project_id NOT IN (SELECT id FROM projects)) GROUP BY 1, 2""",
     ("projects", "drawings", "bill", "objects", "versions"),
@@ -206,7 +205,7 @@ def _(t: Tables):
 def _(t: Tables):
     kept = t.projects.where(F.col("status") != "sent")
     drawings = t.drawings.where(F.col("status") != "uploaded")
-    rules = t.bill.select(F.col("rule_id").alias("id")).where(F.col("id") <= 30).distinct()
+    rules = t.raw("part").where(F.col("p_size") > 9).select(F.col("p_partkey").alias("id"))
     return quality.all_of(
         [
             quality.orphans(t.drawings, "project_id", kept, "id", "drawings.project"),
@@ -393,9 +392,8 @@ def _(t: Tables):
     ("projects", "drawings"),
 )
 def _(t: Tables):
-    figures = derive.project_figures(
-        t.projects, t.drawings.where(F.col("status") == "detected"), t.versions.select("project_id", "total").limit(0)
-    )
+    detected = t.drawings.where(F.col("status") == "detected")
+    figures = derive.project_figures(t.projects, detected, boq.project_totals(boq.trade_summary(t.bill)))
     projects = t.projects.join(figures.select(F.col("project_id").alias("id"), "drawings_count"), "id")
     return derive.portfolio(projects, by="client")
 

@@ -196,10 +196,8 @@ def _event_stream(t: Tables):
     return _stream(t, "events")
 
 
-def _live(t: Tables, name: str):
-    stream = live.last_values(t.as_changes(_event_stream(t)))
-    sent = runs.drained(stream, name, ["boq_item_id"])
-    return live.live_lines(t.bill.select("id", "project_id", "total", "rate", "material_name"), sent)
+def _live_bill(t: Tables):
+    return t.bill.select("id", "project_id", "total", "rate", "material_name")
 
 
 @query(
@@ -209,7 +207,8 @@ def _live(t: Tables, name: str):
     ("changes", "bill"),
 )
 def _(t: Tables):
-    return _live(t, "lines")
+    stream = live.last_values(t.as_changes(_event_stream(t)))
+    return live.live_lines(_live_bill(t), runs.drained(stream, "lines", ["boq_item_id"]))
 
 
 @query(
@@ -228,7 +227,10 @@ def _(t: Tables):
     ("changes", "bill"),
 )
 def _(t: Tables):
-    return live.live_totals(_live(t, "totals"))
+    lines = _live_bill(t)
+    handle, path = live.total_batches(lines, "live")
+    runs.drain(live.last_values(t.as_changes(_event_stream(t))), "totals", "update", handle)
+    return live.current_totals(lines, path)
 
 
 @query(

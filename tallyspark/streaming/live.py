@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tallyspark.functions.numbers import cents, from_cents
 from tallyspark.session import new_path
+from tallyspark.streaming.runs import latest
 
 FIELDS = ("total", "rate", "material_name")
 
@@ -41,6 +42,35 @@ def live_totals(lines: DataFrame) -> DataFrame:
     )
 
 
+def total_batches(lines: DataFrame, name: str) -> tuple[Callable[[DataFrame, int], None], str]:
+    """A batch handler for the stream of last values that re-adds touched projects only.
+
+    Each batch stores its values and the new totals of the projects it touches.
+    """
+    spark = lines.sparkSession
+    path = new_path(spark, f"totals-{name}")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/values/batch_id={batch_id}")
+        sent = latest(spark, f"{path}/values", batch.schema, ["boq_item_id"])
+        changed = spark.read.schema(batch.schema).parquet(f"{path}/values/batch_id={batch_id}")
+        touched = lines.join(changed, lines["id"] == changed["boq_item_id"], "left_semi").select("project_id").distinct()
+        scope = lines.join(touched, "project_id", "left_semi")
+        live_totals(live_lines(scope, sent)).write.mode("overwrite").parquet(f"{path}/totals/batch_id={batch_id}")
+
+    return handle, path
+
+
+def current_totals(lines: DataFrame, path: str) -> DataFrame:
+    """Totals of all projects: the last live one, or that of the stored lines."""
+    stored = live_totals(lines)
+    live = latest(lines.sparkSession, f"{path}/totals", stored.schema, ["project_id"])
+    sent = live.select("project_id", F.col("total").alias("_total"))
+    return stored.join(sent, "project_id", "left").select(
+        "project_id", F.coalesce("_total", "total").alias("total"), "lines"
+    )
+
+
 def events_on_lines(events: DataFrame, lines: DataFrame) -> DataFrame:
     """Events beside the current line; an event for an unknown line keeps no line."""
     current = lines.select(F.col("id").alias("boq_item_id"), "project_id", F.col("total").alias("current_total"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark.session import new_path
 
@@ -23,7 +24,9 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, files_per_batch: int | None = None) -> DataFrame:
+def read_stream(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, files_per_batch: int | None = None
+) -> DataFrame:
     """A stream over the Parquet files of a path."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_batch:
@@ -38,16 +41,30 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def drain(stream: DataFrame, name: str, mode: str = "update", on_batch: Callable[[DataFrame, int], None] | None = None) -> str:
+def start(
+    stream: DataFrame,
+    on_batch: Callable[[DataFrame, int], None],
+    progress: str,
+    mode: str = "update",
+    **trigger: object,
+) -> StreamingQuery:
+    """Start a stream that hands its micro-batches to `on_batch`.
+
+    `progress` is a lasting folder; a stream started again with it goes on where
+    it stopped. Triggers are those of `DataStreamWriter.trigger`.
+    """
+    writer = stream.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", progress)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def drain(
+    stream: DataFrame, name: str, mode: str = "update", on_batch: Callable[[DataFrame, int], None] | None = None
+) -> str:
     """Process all data that is there and return the path of the written batches."""
     spark = stream.sparkSession
     path = new_path(spark, f"stream-{name}")
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(on_batch or batch_writer(path))
-        .option("checkpointLocation", new_path(spark, f"progress-{name}"))
-        .trigger(availableNow=True)
-        .start()
+    query = start(
+        stream, on_batch or batch_writer(path), new_path(spark, f"progress-{name}"), mode, availableNow=True
     )
     query.awaitTermination()
     return path

@@ -57,6 +57,20 @@ def test_live_lines_over_batches(spark, tmp_path):
     assert {r["project_id"]: r["total"] for r in live.live_totals(merged).collect()} == {1: 62.0, 2: 5.0}
 
 
+def test_live_totals_over_batches(spark, tmp_path):
+    batches = [[(1, 10.0, None, None, 1, 1)], [(2, None, 5.0, "A", 2, 2)], [(1, 30.0, None, None, 3, 3), (3, 7.0, None, None, 4, 4)]]
+    lines = spark.createDataFrame(
+        [(1, 1, 100.0, 1.0, "x"), (2, 1, 50.0, 2.0, "y"), (3, 2, 5.0, 3.0, None), (4, 3, 8.0, 1.0, None)],
+        "id long, project_id long, total double, rate double, material_name string",
+    )
+    handle, path = live.total_batches(lines, "t")
+    runs.drain(live.last_values(files(spark, tmp_path, batches, CHANGES)), "t-totals", "update", handle)
+    got = {r["project_id"]: r["total"] for r in live.current_totals(lines, path).collect()}
+    assert got == {1: 80.0, 2: 7.0, 3: 8.0}
+    written = spark.read.parquet(f"{path}/totals").groupBy("batch_id").count().collect()
+    assert {r["batch_id"]: r["count"] for r in written} == {0: 1, 1: 1, 2: 2}
+
+
 def test_reexpansion_replaces_drawings(spark, tmp_path):
     batches = [
         [(1, 1, 10, "LARGE", "a", 1.0), (2, 1, 11, "PROMO", "b", 1.0), (3, 2, 20, "MEDIUM", "c", 1.0)],
