@@ -8,14 +8,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tallyspark.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLES = catalogue.oracle_sql()
 # writing the text of a plan does not need the run of a stream or a written table
 LAZY = [n for n in QUERIES if not n.startswith(("st", "k01", "k02", "k05", "k07", "k11", "s10", "s12", "j15", "full"))]
 
