@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import content_archive, exact_dedup, source_mix, url_rules
+from tallyspark.llm import content_archive, exact_dedup, source_mix, toxicity, url_rules
 from tallyspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     taken = source_mix.mix(table(spark, folder, "documents"), weights=(5, 2, 1), max_epochs=3)
     return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"), learn_from=~toxicity.held_out(F.col("doc_id")))
+    return toxicity.scores(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
