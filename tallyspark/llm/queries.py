@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import content_archive, exact_dedup, source_mix, toxicity, url_rules
+from tallyspark.llm import content_archive, cross_entropy, exact_dedup, pieces, source_mix, toxicity, url_rules
 from tallyspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,15 @@ URL_RULES = (
     ("net", "/fr/", "block"),
 )
 
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """The file of a public tokenizer, as the installed package of them names it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def query(name: str, sql: str | None = None):
     def add(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -127,3 +136,24 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query("op2_cross_entropy")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    models = cross_entropy.fit(docs, table(spark, folder, "labels").filter("quality = 1"))
+    return cross_entropy.differences(docs, models)
+
+
+@query("op6_pieces")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    report = pieces.encoding_report(table(spark, folder, "documents"), tokenizer_path(), n=3)
+    return report.select(
+        "doc_id",
+        "n_pieces",
+        F.get("scores", F.lit(0)).alias("best_score"),
+        F.get("scores", F.lit(1)).alias("second_score"),
+        F.get("scores", F.lit(2)).alias("third_score"),
+        "pieces_sha256",
+        "round_trip",
+    )
