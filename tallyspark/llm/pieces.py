@@ -47,7 +47,7 @@ CACHED_UNITS = 400_000
 LONGEST_CACHED = 64
 UNKNOWN = -1
 NEVER = -1e300
-BLOCKED = -1e8  # a model gives such scores to pieces that no path is to take
+BLOCKED = -1e8  # models give such scores to runs of marks, which no merge makes; here they get the lowest other score
 
 
 def read_model(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -58,8 +58,9 @@ def read_model(path: str) -> tuple[list[tuple[str, float]], int]:
     pieces = []
     for i in range(model.get_piece_size()):
         special = model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
-        usable = not special and model.get_score(i) > BLOCKED
-        pieces.append((model.id_to_piece(i) if usable else "", model.get_score(i)))
+        pieces.append(("" if special else model.id_to_piece(i), model.get_score(i)))
+    lowest = min(score for piece, score in pieces if piece and score > BLOCKED)
+    pieces = [(piece, max(score, lowest)) for piece, score in pieces]
     bytes_at = next(i for i in range(model.get_piece_size()) if model.is_byte(i))
     return pieces, bytes_at
 
@@ -73,7 +74,7 @@ class Vocabulary:
         for piece, _ in pieces:
             for i in range(1, len(piece)):
                 self.edges.setdefault(piece[:i], ())
-        self.texts = [p.replace(MARK, " ").encode() for p, _ in pieces]  # special and blocked ones are empty
+        self.texts = [p.replace(MARK, " ").encode() for p, _ in pieces]  # special ones are empty
         for i in range(256):
             self.texts[bytes_at + i] = bytes([i])
         scores = []
