@@ -56,7 +56,10 @@ def counted(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Trigrams as numbers with their counts in the target and in all documents; `targets` holds doc_id."""
     marked = targets.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").alias("_doc"), text_or_empty("text").alias("text"))
-    flagged = texts.join(marked, F.col("_doc") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
+    # always a merge join: the marked ids grow with the corpus, and a broadcast of the few of a small one says nothing
+    flagged = texts.join(marked.hint("merge"), F.col("_doc") == F.col("_id"), "left").select(
+        "text", F.col("_id").isNotNull().alias("target")
+    )
     return (
         flagged.mapInPandas(_count, "code int, target long, every long")
         .groupBy("code")
