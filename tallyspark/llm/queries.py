@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import content_archive, cross_entropy, exact_dedup, jaccard_join, metric_join, pieces, source_mix, toxicity, url_rules
+from tallyspark.llm import content_archive, cross_entropy, exact_dedup, jaccard_join, metric_join, pieces, source_mix, suffix_dedup, toxicity, url_rules
 from tallyspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_metric_join")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return metric_join.near_duplicates(table(spark, folder, "embeddings"), cosine=0.98)
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, folder, "documents"), length=200, keep_first=False)
