@@ -10,6 +10,7 @@ count and a sum of hashes come to the driver.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +52,20 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         least.select("node", F.col("node").alias("component"))
     )
+
+
+def spanning_forest(linked: np.ndarray, homes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the true cells of a matrix join: every row and column to the root of its tree."""
+    rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    if not rows.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    part = linked[np.ix_(rows, columns)]
+    names = np.arange(rows.size)
+    while True:
+        of_columns = np.where(part, names[:, None], rows.size).min(axis=0)
+        again = np.where(part, of_columns[None, :], rows.size).min(axis=1)
+        if (again == names).all():
+            break
+        names = again
+    roots = homes[rows]
+    return np.concatenate([roots, others[columns]]), np.concatenate([roots[names], roots[of_columns]])

@@ -14,11 +14,12 @@ frequency, rare ones first; then the others by hash. So frequencies are counted
 for the sample only, which holds 1.5 times as many shingles as a prefix does. A
 document with too few sampled ones adds the first of the others.
 
-Documents with equal sets are one from the start. Groups of near copies are not
-paired all with all: each document is first verified against the one that most of
-its prefix shingles name, the least member of their lists; what that links is
-joined up, and candidates are sought only between different components. The
-result loses no component: pairs within one are connected already.
+Documents with equal sets are one from the start. Groups of near copies emit no
+pairs: each document names the one that is the least member of most lists of its
+prefix shingles, and what names each other is a cluster. Within a cluster blocks
+of sets are compared by matrix products, and each block gives a spanning forest
+of its links. Between clusters candidates are paired by their prefixes and
+verified one by one, so no link that joins components is lost.
 
 Words are runs of other than white space, A to Z lower-cased. A text of fewer
 words than a shingle has is one shingle; null texts and texts without words have
@@ -37,13 +38,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.components import components
+from tallyspark.llm.components import components, spanning_forest
 from tallyspark.llm.shared import rows_of, stored, text_or_empty
 
 MOST_MATCHES = 4
 SURPLUS = 1.5
 VERIFY_COST = 8.0
 CACHED_WORDS = 500_000
+BLOCK = 512
+DENSE = 32
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,36 +125,44 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInPandas(build, "set_a long, set_b long, own array<long>")
 
 
-def _prefixes(tokens: DataFrame, percent: int) -> DataFrame:
-    """The prefix shingles of each set that may have a partner: rid, n, matches, token.
+def chosen_prefix(
+    token: np.ndarray, place: np.ndarray, df: np.ndarray, n: int, n_sampled: int, percent: int
+) -> tuple[int, np.ndarray]:
+    """The number of matches asked for and the shingles of that prefix; none if there can be no partner.
 
-    `tokens` holds the shingles that several sets have, with their frequency.
+    Given are the listed shingles that several sets have, with their frequency; `place` is
+    the place in the global order of those outside the sample and -1 for the others.
     """
-    listed = tokens.groupBy("rid", "n", "n_sampled").agg(
-        F.sort_array(F.collect_list(F.struct((F.col("place") >= 0).alias("late"), F.when(F.col("place") < 0, F.col("df")).otherwise(F.col("place")).alias("rank"), "token", "df", "place"))).alias("list")
-    )
-    single = F.col("n_sampled") - F.size(F.filter("list", lambda x: ~x["late"]))
-    placed = listed.withColumn(
-        "list",
-        F.transform(
-            "list",
-            lambda x, i: F.struct(F.when(x["late"], x["place"]).otherwise(single + i).alias("at"), x["token"].alias("token"), x["df"].alias("df")),
-        ),
-    )
-    overlap = F.ceil(F.col("n") * percent / 100).cast("int")
-    options = []
-    for matches in range(1, MOST_MATCHES + 1):
-        inside = F.filter("list", lambda x, m=matches: x["at"] < F.col("n") - overlap + m)
-        reached = F.aggregate(inside, F.lit(0.0), lambda total, x: total + x["df"])
-        cost = F.when(F.size(inside) < matches, F.lit(0.0)).otherwise(reached * (1 + VERIFY_COST / matches))
-        # more matches than the least overlap cannot be asked for
-        options.append(F.when(overlap >= matches, F.struct(cost.alias("cost"), F.lit(matches).alias("matches"))))
-    best = F.array_min(F.array_compact(F.array(*options)))
-    chosen = placed.withColumn("best", best).filter("best.cost > 0")
-    kept = F.filter("list", lambda x: x["at"] < F.col("n") - overlap + F.col("best.matches"))
-    return chosen.select("rid", "n", F.col("best.matches").alias("matches"), F.explode(kept).alias("x")).select(
-        "rid", "n", "matches", F.col("x.token").alias("token")
-    )
+    late = place >= 0
+    order = np.lexsort((token, np.where(late, place, df), late))
+    token, place, df, late = token[order], place[order], df[order], late[order]
+    # sampled shingles that no other set has come first
+    at = np.where(late, place, n_sampled - (~late).sum() + np.arange(token.size))
+    overlap = -(-percent * n // 100)
+    reached = np.cumsum(df)
+    best = (np.inf, 0, 0)
+    for matches in range(1, min(MOST_MATCHES, overlap) + 1):
+        k = int(np.searchsorted(at, n - overlap + matches))
+        if k < matches:
+            return 0, token[:0]
+        best = min(best, (reached[k - 1] * (1 + VERIFY_COST / matches), matches, k))
+    return best[1], token[: best[2]]
+
+
+def _prefixes(listed: DataFrame, percent: int) -> DataFrame:
+    """The prefix of each set that may have a partner: rid, n, matches, token."""
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in rows_of(batches, 1000):
+            out = []
+            for rid, n, n_sampled, token, place, df in rows.itertuples(index=False, name=None):
+                matches, tokens = chosen_prefix(np.asarray(token), np.asarray(place), np.asarray(df), n, n_sampled, percent)
+                if matches:
+                    out.append((rid, n, matches, tokens))
+            yield pd.DataFrame(out, columns=["rid", "n", "matches", "tokens"])
+
+    chosen = listed.mapInPandas(choose, "rid long, n int, matches int, tokens array<long>")
+    return chosen.select("rid", "n", "matches", F.explode("tokens").alias("token"))
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -167,6 +178,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(shared * 100 >= union * percent).select("a", "b")
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists.
+
+    Shingles that many sets of both lists have are counted by a matrix product, the others
+    pair by pair, so the work is bounded by the shingles given, whatever repeats.
+    """
+    tokens = [np.concatenate(x) for x in (a, b)]
+    owners = [np.repeat(np.arange(len(x)), [s.size for s in x]) for x in (a, b)]
+    common = np.intersect1d(tokens[0], tokens[1])
+    columns = []
+    for i in (0, 1):
+        place = np.searchsorted(common, tokens[i])
+        held = place < common.size
+        held[held] = common[place[held]] == tokens[i][held]
+        order = np.argsort(place[held], kind="stable")
+        columns.append((place[held][order], owners[i][held][order]))
+    counts = [np.bincount(c, minlength=common.size) for c, _ in columns]
+    dense = (counts[0] >= DENSE) & (counts[1] >= DENSE)
+    found = np.zeros((len(a), len(b)), np.int64)
+    rank = np.cumsum(dense) - 1
+    total = int(dense.sum())
+    for begin in range(0, total, 2048):
+        grids = []
+        for (place, owner), size in zip(columns, (len(a), len(b)), strict=True):
+            grid = np.zeros((size, min(2048, total - begin)), np.float32)
+            mine = dense[place] & (rank[place] >= begin) & (rank[place] < begin + 2048)
+            grid[owner[mine], rank[place[mine]] - begin] = 1
+            grids.append(grid)
+        found += np.rint(grids[0] @ grids[1].T).astype(np.int64)
+    starts = np.cumsum(counts[1]) - counts[1]
+    place, owner = columns[0]
+    rare = ~dense[place]
+    place, owner = place[rare], owner[rare]
+    times = counts[1][place]
+    left = np.repeat(owner, times)
+    offsets = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    right = columns[1][1][np.repeat(starts[place], times) + offsets]
+    return found + np.bincount(left * len(b) + right, minlength=found.size).reshape(found.shape)
+
+
+def _within(percent: int):
+    """Links within clusters: each part has some sets of its cluster, and streams through those that come after them."""
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, own = None, np.zeros(0, np.int64), []
+        for batch in batches:
+            keys = batch["part"].to_numpy()
+            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            for begin, end in zip(edges, np.append(edges[1:], len(batch)), strict=True):
+                if keys[begin] != key:
+                    key, ids, own = keys[begin], np.zeros(0, np.int64), []
+                rows = batch.iloc[begin:end]
+                side = rows["side"].to_numpy()
+                homes, others = rows[side == 0], rows[side == 1]
+                ids = np.concatenate([ids, homes["rid"].to_numpy()])
+                own += list(homes["own"])
+                for i in range(0, len(others), BLOCK):
+                    tile = others.iloc[i : i + BLOCK]
+                    tile_ids, tile_own = tile["rid"].to_numpy(), list(tile["own"])
+                    shared = intersections(own, tile_own)
+                    union = np.array([s.size for s in own])[:, None] + np.array([s.size for s in tile_own])[None, :] - shared
+                    a, b = spanning_forest(shared * 100 >= union * percent, ids, tile_ids)
+                    keep = a != b
+                    if keep.any():
+                        yield pd.DataFrame({"a": a[keep], "b": b[keep]})
+
+    return within
+
+
+def _cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect what is similar within a cluster; `clusters` has node and component."""
+    members = clusters.join(sets, F.col("node") == F.col("rid")).select("component", "rid", "own")
+    parts = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    number = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    placed = members.join(parts, "component").withColumn("number", number)
+    # a set is at home in its own part and passes through those up to it
+    entries = F.concat(
+        F.array(F.struct(F.col("number").alias("at"), F.lit(0).alias("side"))),
+        F.transform(F.sequence(F.lit(0), F.col("number")), lambda x: F.struct(x.alias("at"), F.lit(1).alias("side"))),
+    )
+    spread = placed.select("component", "rid", "own", F.explode(entries).alias("e")).select(
+        F.concat_ws("/", "component", "e.at").alias("part"), "e.side", "rid", "own"
+    )
+    return spread.repartition("part").sortWithinPartitions("part", "side").mapInPandas(_within(percent), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -178,38 +275,38 @@ def near_duplicates(
     groups = stored(
         filled.groupBy("set_a", "set_b").agg(F.min("sid").alias("rid"), F.min("doc_id").alias("least_id")), "jaccard-groups"
     )
-    one = filled.groupBy("set_a", "set_b").agg(F.min_by(F.struct("sid", "n", "n_sampled", "tokens"), "sid").alias("r"))
+    one = filled.groupBy("set_a", "set_b").agg(F.min_by(F.struct("sid", "n_sampled", "tokens"), "sid").alias("r"))
     tokens = one.select(
-        F.col("r.sid").alias("rid"), F.col("r.n").alias("n"), F.col("r.n_sampled").alias("n_sampled"), F.posexplode("r.tokens").alias("i", "token")
-    ).select(
-        "rid", "n", "n_sampled", "token", F.when(F.col("i") < F.col("n_sampled"), F.lit(-1)).otherwise(F.col("i")).alias("place")
-    )
+        F.col("r.sid").alias("rid"), F.col("r.n_sampled").alias("n_sampled"), F.posexplode("r.tokens").alias("i", "token")
+    ).select("rid", "token", F.when(F.col("i") < F.col("n_sampled"), F.lit(-1)).otherwise(F.col("i")).alias("place"))
     common = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
-    prefixes = stored(_prefixes(tokens.join(common, "token"), percent), "jaccard-prefixes")
+    lists = tokens.join(common, "token").groupBy("rid").agg(F.collect_list(F.struct("token", "place", "df")).alias("x"))
+    listed = lists.join(filled.select("sid", "n", "n_sampled"), F.col("rid") == F.col("sid")).select(
+        "rid", "n", "n_sampled", "x.token", "x.place", "x.df"
+    )
+    prefixes = stored(_prefixes(listed, percent), "jaccard-prefixes")
+    hubs = prefixes.groupBy("token").agg(F.min(F.struct("rid", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
+    prefixes = stored(prefixes.join(hubs, "token").select("token", "rid", "n", "matches", "hub"), "jaccard-lists")
 
-    # first each set with the one that most of its prefix shingles name
-    hubs = prefixes.groupBy("token").agg(F.min(F.struct("rid", "n")).alias("hub"))
+    # sets are clustered by the one that most of their prefix shingles name, and compared within a cluster
     named = (
-        prefixes.join(hubs, "token")
-        .filter((F.col("rid") != F.col("hub.rid")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
+        prefixes.filter((F.col("rid") != F.col("hub.rid")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
         .groupBy(F.col("rid").alias("a"), F.col("hub.rid").alias("b"))
         .agg(F.count("*").alias("times"))
         .groupBy("a")
         .agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
     )
+    clusters = stored(components(named), "jaccard-clusters")
     wanted = prefixes.select("rid").distinct()
-    members = groups.join(wanted, "rid").select("rid", "set_a", "set_b", F.col("least_id"))
-    ids = filled.join(wanted, filled["sid"] == wanted["rid"], "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
+    members = groups.join(wanted, "rid").select("rid", "set_a", "set_b")
+    ids = filled.join(wanted, F.col("sid") == F.col("rid"), "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
     own = _full_sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"), size)
-    sets = stored(
-        own.join(members, ["set_a", "set_b"]).select("rid", "own").dropDuplicates(["rid"]), "jaccard-full"
-    )
-    links = stored(_verified(named, sets, percent), "jaccard-links")
-    joined = components(links)
+    sets = stored(own.join(members, ["set_a", "set_b"]).select("rid", "own").dropDuplicates(["rid"]), "jaccard-full")
+    links = stored(_cluster_links(sets, clusters, percent), "jaccard-links")
 
-    # then only candidates from different components
+    # then candidates from different clusters: those of a list that has several
     placed = stored(
-        prefixes.join(joined, F.col("rid") == F.col("node"), "left").select(
+        prefixes.join(clusters, F.col("rid") == F.col("node"), "left").select(
             "token", "rid", "n", "matches", F.coalesce("component", "rid").alias("part")
         ),
         "jaccard-parts",

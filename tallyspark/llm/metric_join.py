@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.components import components
+from tallyspark.llm.components import components, spanning_forest
 from tallyspark.llm.shared import stored
 
 BLOCK = 1024
@@ -104,23 +104,6 @@ def _in_cells(different: DataFrame, radius: float) -> DataFrame:
     )
 
 
-def _forest(linked: np.ndarray, homes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what the true cells of a matrix join: every row and column to the root of its tree."""
-    rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-    if not rows.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    part = linked[np.ix_(rows, columns)]
-    names = np.arange(rows.size)
-    while True:
-        of_columns = np.where(part, names[:, None], rows.size).min(axis=0)
-        again = np.where(part, of_columns[None, :], rows.size).min(axis=1)
-        if (again == names).all():
-            break
-        names = again
-    roots = homes[rows]
-    return np.concatenate([roots, others[columns]]), np.concatenate([roots[names], roots[of_columns]])
-
-
 def _join(cosine: float):
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, ids, units, sums = None, [], [], None
@@ -151,7 +134,7 @@ def _join(cosine: float):
                     linked = units @ np.array(tile["unit"].tolist()).T >= cosine
                     linked &= ids[:, None] != other_ids[None, :]
                     sums += linked @ tile["weight"].to_numpy()
-                    a, b = _forest(linked, ids, other_ids)
+                    a, b = spanning_forest(linked, ids, other_ids)
                     keep = a != b
                     if keep.any():
                         yield pd.DataFrame({"kind": LINKED, "a": a[keep], "b": b[keep], "n": np.int64(0)})
