@@ -1,11 +1,12 @@
 """Exact deduplication: equal texts by a 128-bit content hash, with the bytes compared inside each group.
 
 Two texts are equal when they are identical after the deletion of white space.
-The hash is MD5 of that normalised text; only light rows of it are grouped,
-reduced before the shuffle, so a text that a third of all rows share costs one
-row a task. Texts of groups with several rows then meet once more: the least
-and the greatest text of a group are compared byte by byte. Should they differ,
-the job stops with an error, since the hash would then have mixed two texts.
+The hash is MD5 of that normalised text. Rows are grouped by hash and bytes: the
+hash deals them out, and the comparison of bytes inside each hash keeps texts
+apart that collide. Both groupings are reduced before the shuffle, so of a text
+that a third of all rows share one row a task is moved. A document then finds its
+group by MD5 and SHA-256 of its text; should two texts share both, the job stops
+with an error.
 
 Null texts count as empty, and empty texts form a group of their own. Of equal
 texts, the one with the most code points in its original form stays, of those
@@ -40,28 +41,27 @@ def groups_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     rows = stored(
         texts.select("doc_id", "n_points", "content", F.sha2("plain", 256).alias("text_sha256")), "exact-rows"
     )
-    best = F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    groups = rows.groupBy("content").agg(F.count("*").alias("group_size"), best.alias("best"))
-
-    several = groups.filter("group_size > 1").select("content")
-    same = (
-        texts.select("content", "plain")
-        .join(several, "content", "left_semi")
-        .groupBy("content")
-        .agg((F.min("plain") == F.max("plain")).alias("same"))
+    # equal bytes meet here, copies of a text within a task as one row; the hash only deals them out
+    different = texts.groupBy("content", "plain").agg(F.count("*").alias("n"))
+    sizes = (
+        different.groupBy("content", F.sha2("plain", 256).alias("text_sha256"))
+        .agg(F.sum("n").alias("group_size"), F.count("*").alias("n_texts"))
+        .select(
+            "content",
+            "text_sha256",
+            F.when(F.col("n_texts") == 1, F.col("group_size"))
+            .otherwise(F.raise_error(F.lit("two texts share both hashes")).cast("long"))
+            .alias("group_size"),
+        )
     )
-    sound = F.when(
-        F.col("group_size") > 1,
-        F.when(F.col("same"), F.lit(True)).otherwise(F.raise_error(F.lit("two texts share a content hash")).cast("boolean")),
-    ).otherwise(True)
-    checked = groups.join(same, "content", "left").select(
-        "content", "group_size", F.col("best.doc_id").alias("keep_id"), sound.alias("sound")
-    )
-    return rows.join(checked.filter("sound"), "content").select(
+    best = F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    keepers = rows.groupBy("content", "text_sha256").agg(best.alias("best"))
+    groups = stored(keepers.join(sizes, ["content", "text_sha256"]), "exact-groups")
+    return rows.join(groups, ["content", "text_sha256"]).select(
         "doc_id",
-        "keep_id",
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"),
         "text_sha256",
         "n_points",
     )
