@@ -134,6 +134,8 @@ def taken_words(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             "of", "source_size", "target", "whole", "rest", "last", F.concat("cut1", "cut2").alias("cut")
         )
     )
+    # stored, its size is known: one row a source is broadcast when small, and no document is shuffled
+    cuts = stored(cuts, "mix-cuts")
     placed = sizes.join(cuts, F.col("of").eqNullSafe(F.col("source"))).withColumn(
         "range", F.substring("place", 1, 2 * DIGITS)
     )
