@@ -10,9 +10,11 @@ matches as the smaller L of both. A document whose prefix of any L has fewer
 than L shingles that others have too is similar to none, and most end there.
 
 The order: first a sample of the shingles, chosen by hash, by their document
-frequency, rare ones first; then the others by hash. So frequencies are counted
-for the sample only, which holds 1.5 times as many shingles as a prefix does. A
-document with too few sampled ones adds the first of the others.
+frequency, rare ones first; then the others by hash; last the most frequent ones
+of the corpus, at most `FREQUENT`, found by counts over all documents. So exact
+frequencies are needed for the sample only, which holds 1.5 times as many
+shingles as a prefix does. A document with too few sampled ones adds the first of
+the others. Any order gives the same result; this one keeps lists short.
 
 Documents with equal sets are one from the start. Groups of near copies emit no
 pairs: each document names the one that is the least member of most lists of its
@@ -46,6 +48,8 @@ SURPLUS = 1.5
 VERIFY_COST = 8.0
 CACHED_WORDS = 500_000
 BLOCK = 512
+FREQUENT = 1 << 17
+COUNTED_TOGETHER, COUNTED_FROM = 4000, 4
 DENSE = 32
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,17 +92,39 @@ def prefix_length(n: int, percent: int, matches: int) -> int:
     return min(n, n - -(-percent * n // 100) + matches)
 
 
+def _frequent(texts: DataFrame, size: int) -> np.ndarray:
+    """The most frequent shingles, ascending; all documents are counted, in parts, and parts leave out their rare ones."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for rows in rows_of(batches, COUNTED_TOGETHER):
+            tokens, n = np.unique(np.concatenate([shingles(t, size, hashes) for t in rows["text"]]), return_counts=True)
+            yield pd.DataFrame({"token": tokens[n >= COUNTED_FROM], "n": n[n >= COUNTED_FROM]})
+
+    counts = texts.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    first = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()
+    return np.sort(first["token"].to_numpy(np.int64))
+
+
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per document with a set: doc_id, set_a and set_b (a 128-bit digest), n, n_sampled, tokens (sampled, then others)."""
+    """Per document: doc_id, set_a and set_b (a 128-bit digest), n, n_sampled, tokens.
+
+    The tokens are all sampled shingles, and others in their order up to the longest prefix.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, frequent = WordHashes(), sent.value
         for rows in rows_of(batches, 1000):
             out = []
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
                 own = shingles(text, size, hashes)
-                chosen = _sampled(own, percent)
-                first, others = own[chosen], own[~chosen]
+                late = np.zeros(own.size, bool)
+                if frequent.size:
+                    late = frequent[np.minimum(np.searchsorted(frequent, own), frequent.size - 1)] == own
+                chosen = _sampled(own, percent) & ~late
+                first = own[chosen]
+                others = np.concatenate([own[~chosen & ~late], own[late]])
                 more = prefix_length(own.size, percent, MOST_MATCHES) - first.size if own.size else 0
                 digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
                 out.append(
