@@ -47,9 +47,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import rows_of, stored, text_or_empty
+from tallyspark.llm.shared import rows_of, small, stored, text_or_empty
 
-GROUP = 256
+GROUP = 8192
 BUCKET = 8192
 CHUNK = 1 << 18
 PLACE_BITS = 20
@@ -148,7 +148,7 @@ def _anchor_rows(length: int):
                 out.append(
                     pd.DataFrame(
                         {
-                            "did": did, "key": key, "rid": rid, "pos": at, "back": left, "ahead": right,
+                            "did": did, "key": key, "rid": rid, "pos": at, "ahead": right,
                             "anchor": values, "context": np.array(contexts, np.uint64).view(np.int64),
                         }
                     )
@@ -159,7 +159,7 @@ def _anchor_rows(length: int):
     return find
 
 
-ANCHOR_ROWS = "did long, key long, rid long, pos int, back int, ahead int, anchor long, context long"
+ANCHOR_ROWS = "did long, key long, rid long, pos int, ahead int, anchor long, context long"
 
 
 def smaller_before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -197,48 +197,46 @@ def group_reach(anchor: np.ndarray, contexts: list[bytes], back: np.ndarray, len
     size, gram = len(contexts), gram_of(length)
     zero = length - gram  # the column of the anchor
     width = zero + length
-    grid = np.zeros((size, width), np.int64)
+    grid = np.zeros((size, width), np.uint8)
     ends = np.zeros(size, np.int64)
     for i, (raw, left) in enumerate(zip(contexts, back, strict=True)):
-        grid[i, zero - left : zero - left + len(raw)] = np.frombuffer(raw, np.uint8).astype(np.int64) + 1
+        grid[i, zero - left : zero - left + len(raw)] = np.frombuffer(raw, np.uint8)
         ends[i] = zero - left + len(raw)
     hashes = np.zeros((size, width + 1), np.uint64)
     up, down = powers(width + 1)
-    np.cumsum(np.append(np.uint64(0), byte_values())[grid] * up[:width], axis=1, out=hashes[:, 1:])
+    np.cumsum(byte_values()[grid] * up[:width], axis=1, out=hashes[:, 1:])
 
     none = 1 << 30
     reach = np.tile(np.array([none, -none, none, -none], np.int64), (size, 1))
-    groups = np.unique(anchor, return_inverse=True)[1].astype(np.int64)
-    rank = np.zeros(size, np.int64)
-    position = np.arange(size)
-    for column in range(width - 1, -1, -1):
-        # suffixes that start here: by anchor, then this byte, then the order one place on
-        whole = (groups * 257 + grid[:, column]) * size + rank
-        order = np.argsort(whole, kind="stable")
-        ordered = whole[order]
-        fresh = np.append(True, ordered[1:] != ordered[:-1])
-        rank = np.empty(size, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        if column > zero:
-            continue
-        valid = (column >= zero - back[order]) & (column + length <= ends[order])
-        rows = order[valid]
+    groups = np.unique(anchor, return_inverse=True)[1].astype(np.uint16 if size < 1 << 16 else np.int64)
+    # suffixes from the anchor on; before it the order at a column follows from its bytes and the order one column on
+    order = np.array(sorted(range(size), key=lambda i: (groups[i], contexts[i][back[i] :])), dtype=np.int64)
+    for column in range(zero, -1, -1):
+        if column < zero:
+            order = order[np.argsort(grid[order, column], kind="stable")]
+            order = order[np.argsort(groups[order], kind="stable")]
+        rows = order[(column >= zero - back[order]) & (column + length <= ends[order])]
         if rows.size < 2:
             continue
         windows = (hashes[rows, column + length] - hashes[rows, column]) * down[column]
-        alike = (windows[1:] == windows[:-1]) & (anchor[rows[1:]] == anchor[rows[:-1]])
-        pairs = np.flatnonzero(alike)
+        pairs = np.flatnonzero((windows[1:] == windows[:-1]) & (groups[rows[1:]] == groups[rows[:-1]]))
         same = (grid[rows[pairs], column : column + length] == grid[rows[pairs + 1], column : column + length]).all(axis=1)
+        alike = np.zeros(rows.size - 1, bool)
         alike[pairs] = same
-        first = np.append(True, ~alike)
-        before, after = factor_sources(position[rows], first)
+        # only suffixes that agree with a neighbour in the length or more can have such a factor
+        inside = np.append(alike, False) | np.append(False, alike)
+        first = np.append(True, ~alike)[inside]
+        rows = rows[inside]
+        if not rows.size:
+            continue
+        before, after = factor_sources(rows, first)  # contexts come in the order of positions
         later = (before >= 0) | (after >= 0)  # the longest previous factor has the length or more
-        sources = np.concatenate([before[before >= 0], after[after >= 0]])
         repeated = later.copy()
-        repeated[sources] = True
+        repeated[before[before >= 0]] = True
+        repeated[after[after >= 0]] = True
         for flags, at in ((repeated, 0), (later, 2)):
             hit = rows[flags]
-            reach[hit, at] = np.minimum(reach[hit, at], column - zero)
+            reach[hit, at] = column - zero
             reach[hit, at + 1] = np.maximum(reach[hit, at + 1], column - zero)
     return reach
 
@@ -248,7 +246,7 @@ REACH = "anchor long, context long, lo int, hi int, later_lo int, later_hi int"
 
 def _bucket_reach(length: int):
     def reach(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["did", "key", "pos", "context"])
+        rows = rows.drop_duplicates(["anchor", "context"]).sort_values(["did", "rid", "pos"])
         found = group_reach(rows["anchor"].to_numpy(), list(rows["raw"]), rows["back"].to_numpy(), length)
         out = pd.DataFrame(found, columns=["lo", "hi", "later_lo", "later_hi"], dtype=np.int64)
         return pd.concat([rows[["anchor", "context"]].reset_index(drop=True), out], axis=1)
@@ -268,7 +266,7 @@ def _windows(length: int):
                 out.append(
                     pd.DataFrame(
                         {
-                            "anchor": row.anchor, "context": row.context, "did": row.did, "key": row.key, "pos": row.pos,
+                            "anchor": row.anchor, "context": row.context, "did": row.did, "rid": row.rid, "pos": row.pos,
                             "start": np.arange(values.size) - row.back, "window": values.view(np.int64),
                         }
                     )
@@ -282,9 +280,9 @@ def _windows(length: int):
 def _hot_reach(contexts: DataFrame, length: int) -> DataFrame:
     """The reach of contexts of anchors with many of them, by counts of equal windows."""
     rows = contexts.mapInPandas(
-        _windows(length), "anchor long, context long, did long, key long, pos int, start int, window long"
+        _windows(length), "anchor long, context long, did long, rid long, pos int, start int, window long"
     )
-    place = F.struct("did", "key", "pos", "context")
+    place = F.struct("did", "rid", "pos")
     classes = (
         rows.groupBy("anchor", "start", "window")
         .agg(F.count("*").alias("n"), F.min(place).alias("first"))
@@ -310,7 +308,7 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _repeated(keyed: DataFrame, length: int, keep_first: bool, group: int) -> tuple[DataFrame, DataFrame]:
-    """Texts with repeated anchors (did, key, raw), and the runs of their bytes that go (did, key, begin, end)."""
+    """Texts that lose bytes (did, key, raw), and the runs of their bytes that go (did, key, runs)."""
     found = stored(
         keyed.select("did", "key", F.monotonically_increasing_id().alias("rid"), "raw").mapInPandas(
             _anchor_rows(length), ANCHOR_ROWS
@@ -318,44 +316,44 @@ def _repeated(keyed: DataFrame, length: int, keep_first: bool, group: int) -> tu
         "suffix-anchors",
     )
     several = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    back = F.least(F.col("pos"), F.lit(length - gram_of(length)))
     hits = stored(
-        found.select("rid", "pos", "back", "ahead", "anchor", "context").join(several, "anchor"), "suffix-hits"
-    )
-    owners = found.select("rid", "did", "key").distinct().join(hits.select("rid").distinct(), "rid", "left_semi")
+        found.select("did", "rid", "pos", "ahead", "anchor", "context").join(several, "anchor"), "suffix-hits"
+    ).withColumn("back", back)
+    owners = found.select("rid", *KEY).distinct().join(hits.select("rid").distinct(), "rid", "left_semi")
     owners = stored(owners, "suffix-owners")
-    texts = stored(
-        keyed.select("did", "key", "raw").join(owners.select(*KEY).distinct(), KEY, "left_semi"), "suffix-texts"
-    )
 
     # contexts of each anchor, each with its first place
-    place = F.struct("did", "key", "pos", "rid")
-    named = hits.join(owners, "rid")
     unlike = stored(
-        named.groupBy("anchor", "context").agg(
-            F.count("*").alias("times"), F.min(place).alias("first"), F.max("back").alias("back"), F.max("ahead").alias("ahead")
+        hits.groupBy("anchor", "context").agg(
+            F.count("*").alias("times"),
+            F.min(F.struct("did", "rid", "pos")).alias("first"),
+            F.max("back").alias("back"),
+            F.max("ahead").alias("ahead"),
         ),
         "suffix-contexts",
     )
-    kinds = unlike.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed_ = unlike.join(kinds, "anchor").select(
-        "anchor", "context", "kinds", "back", "ahead", "first.did", "first.key", "first.pos"
+    kinds = stored(
+        unlike.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-kinds"
     )
-    cut = F.col("raw").substr(F.col("pos") - F.col("back") + 1, F.col("back") + F.col("ahead"))
-    contexts = stored(
-        mixed_.join(texts, KEY)
-        .select("anchor", "context", "kinds", "back", "did", "key", "pos", cut.alias("raw"))
-        .dropDuplicates(["anchor", "context"]),
-        "suffix-unlike",
+    buckets = int(kinds.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]) // BUCKET + 1
+    several_kinds = (
+        unlike.join(kinds, "anchor")
+        .select("anchor", "context", "kinds", "back", "ahead", "first.did", "first.rid", "first.pos")
+        .join(small(owners).select("rid", "key"), "rid")
     )
-    few = contexts.filter(F.col("kinds") <= group).drop("kinds")
-    buckets = few.count() // BUCKET + 1
+    texts = keyed.select(*KEY, "raw").join(small(owners).select(*KEY).distinct(), KEY, "left_semi")
+    cut = F.col("raw").substr(F.col("pos") - F.col("back") + 1, F.col("back") + F.col("ahead"))
+    contexts = several_kinds.join(texts, KEY).select("anchor", "context", "kinds", "back", "did", "rid", "pos", cut.alias("raw"))
+    # rows alike in id and text give a context twice, which stays one
     cool = (
-        few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+        contexts.filter(F.col("kinds") <= group)
+        .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
         .groupBy("bucket")
         .applyInPandas(_bucket_reach(length), REACH)
     )
-    hot = _hot_reach(contexts.filter(F.col("kinds") > group), length)
-    reach = stored(cool.unionByName(hot), "suffix-reach")
+    hot = contexts.filter(F.col("kinds") > group).dropDuplicates(["anchor", "context"])
+    reach = stored(cool.unionByName(_hot_reach(hot, length)), "suffix-reach")
 
     facts = unlike.select("anchor", "context", "times", F.col("first.rid").alias("first_rid"), F.col("first.pos").alias("first_pos"))
     facts = facts.join(reach, ["anchor", "context"], "left")
@@ -377,7 +375,9 @@ def _repeated(keyed: DataFrame, length: int, keep_first: bool, group: int) -> tu
     of_text = owners.join(runs, "rid", "left").groupBy(*KEY).agg(
         (F.min_by("runs", "rid") if keep_first else F.max_by("runs", F.size(F.coalesce("runs", F.array())))).alias("runs")
     )
-    return texts, of_text
+    of_text = stored(of_text.filter("runs is not null"), "suffix-runs")
+    losing = small(of_text.select(*KEY))
+    return keyed.select(*KEY, "raw").join(losing, KEY, "left_semi"), of_text
 
 
 def merged(runs: list) -> list[tuple[int, int]]:
@@ -411,7 +411,7 @@ CUT = (
 def _cuts(docs: DataFrame, length: int, keep_first: bool, id_column: str, text_column: str, group: int) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(docs, id_column, text_column)
     texts, runs = _repeated(keyed, length, keep_first, group)
-    cut = texts.join(runs.filter("runs is not null"), KEY).mapInPandas(_cut, CUT)
+    cut = texts.join(runs, KEY).mapInPandas(_cut, CUT)
     return keyed, cut
 
 
