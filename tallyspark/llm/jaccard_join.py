@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components, spanning_forest
-from tallyspark.llm.shared import rows_of, stored, text_or_empty
+from tallyspark.llm.shared import rows_of, small, stored, text_or_empty
 
 MOST_MATCHES = 4
 SURPLUS = 1.5
@@ -275,10 +275,10 @@ def _within(percent: int):
 
 def _cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Edges that connect what is similar within a cluster; `clusters` has node and component."""
-    members = clusters.join(sets, F.col("node") == F.col("rid")).select("component", "rid", "own")
     parts = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    number = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
-    placed = members.join(parts, "component").withColumn("number", number)
+    number = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    numbered = stored(clusters.join(parts, "component").select("node", "component", number.alias("number")), "jaccard-numbered")
+    placed = sets.join(small(numbered), F.col("node") == F.col("rid"))
     # a set is at home in its own part and passes through those up to it
     entries = F.concat(
         F.array(F.struct(F.col("number").alias("at"), F.lit(0).alias("side"))),
@@ -324,10 +324,12 @@ def near_duplicates(
     )
     clusters = stored(components(named), "jaccard-clusters")
     wanted = prefixes.select("rid").distinct()
-    members = groups.join(wanted, "rid").select("rid", "set_a", "set_b")
-    ids = filled.join(wanted, F.col("sid") == F.col("rid"), "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
+    chosen = filled.select("sid", "doc_id", "set_a", "set_b").join(wanted, F.col("sid") == F.col("rid"))
+    chosen = stored(chosen.select("rid", F.col("doc_id").alias("wanted_id"), "set_a", "set_b"), "jaccard-chosen")
+    ids = small(chosen).select("wanted_id").distinct()
     own = _full_sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"), size)
-    sets = stored(own.join(members, ["set_a", "set_b"]).select("rid", "own").dropDuplicates(["rid"]), "jaccard-full")
+    # rows that repeat an id may give a set twice, which changes nothing
+    sets = stored(own.join(small(chosen).select("rid", "set_a", "set_b"), ["set_a", "set_b"]).select("rid", "own"), "jaccard-full")
     links = stored(_cluster_links(sets, clusters, percent), "jaccard-links")
 
     # then candidates from different clusters: those of a list that has several
@@ -358,7 +360,9 @@ def near_duplicates(
         .filter("shared >= needed")
         .select("a", "b")
     )
-    more = _verified(candidates, sets, percent)
+    candidates = stored(candidates, "jaccard-candidates")
+    sides = stored(candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "jaccard-sides")
+    more = _verified(candidates, sets.join(small(sides), "rid", "left_semi"), percent)
     whole = stored(components(links.unionByName(more)), "jaccard-components")
 
     least = (

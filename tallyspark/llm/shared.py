@@ -25,7 +25,7 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def small(frame: DataFrame, most: int = 2_000_000) -> DataFrame:
+def small(frame: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A stored frame of few columns, marked for broadcast if it has at most so many rows; else as it is."""
     return F.broadcast(frame) if frame.count() <= most else frame
 
