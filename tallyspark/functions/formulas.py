@@ -2,7 +2,8 @@
 
 A formula is arithmetic over named variables with ceil, floor, sqrt, abs and
 round (ties to even). Anything that fails - a syntax error, an unknown name, a
-division by zero, a missing value - makes the whole formula 0.0. Formulas are
+division by zero, a missing value, a result beyond all numbers - makes the whole
+formula 0.0. Formulas are
 configuration: the distinct ones are compiled on the driver behind a check of
 their number, and the rows never leave the executors.
 """
@@ -15,7 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_FORMULAS = 500
+MAX_FORMULAS = 100_000
+CHOICES = 200
 
 
 class FormulaError(ValueError):
@@ -30,6 +32,8 @@ def _unless_zero(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 
 
+WHOLE_FROM = 2.0**53  # doubles from here on are whole already
+
 _BINARY = {
     ast.Add: lambda a, b: a + b,
     ast.Sub: lambda a, b: a - b,
@@ -41,8 +45,8 @@ _BINARY = {
 }
 
 _CALLS = {
-    "ceil": lambda a: _double(F.ceil(a)),
-    "floor": lambda a: _double(F.floor(a)),
+    "ceil": lambda a: F.when(F.abs(a) < WHOLE_FROM, _double(F.ceil(a))).otherwise(a),
+    "floor": lambda a: F.when(F.abs(a) < WHOLE_FROM, _double(F.floor(a))).otherwise(a),
     "sqrt": lambda a: F.when(a >= 0, F.sqrt(a)),
     "abs": F.abs,
     "round": lambda a: _double(F.bround(a, 0)),
@@ -93,7 +97,7 @@ def compile_formula(formula: str, variables: Mapping[str, Column]) -> Column:
         value = _build(ast.parse(text, mode="eval"), variables)
     except (FormulaError, SyntaxError, ValueError, RecursionError):
         return F.lit(0.0)
-    return F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))
+    return F.coalesce(F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value), F.lit(0.0))
 
 
 def distinct_formulas(table: DataFrame, column: str, limit: int = MAX_FORMULAS) -> list[str]:
@@ -106,10 +110,15 @@ def distinct_formulas(table: DataFrame, column: str, limit: int = MAX_FORMULAS)
 
 def evaluate(formula: Column, formulas: Sequence[str], variables: Mapping[str, Column]) -> Column:
     """Value of the formula each row names, out of the given formulas."""
-    value = F.lit(0.0)
-    for text in formulas:
-        value = F.when(formula == F.lit(text), compile_formula(text, variables)).otherwise(value)
-    return value
+    # flat choices of bounded length, one beside the other: nothing is nested in what came before
+    choices = []
+    for i in range(0, len(formulas), CHOICES):
+        chosen = None
+        for text in formulas[i : i + CHOICES]:
+            value = compile_formula(text, variables)
+            chosen = F.when(formula == F.lit(text), value) if chosen is None else chosen.when(formula == F.lit(text), value)
+        choices.append(chosen)
+    return F.coalesce(*choices, F.lit(0.0))
 
 
 def chain_levels(definitions: Mapping[str, str]) -> tuple[list[list[str]], list[str]]:

@@ -34,6 +34,12 @@ def sum_money(x: Column) -> Column:
     return from_cents(F.sum(cents(x)))
 
 
+def sum_quantity(x: Column) -> Column:
+    """Sum of quantities or areas, exact at six decimals in any order of addition, as double."""
+    millionths = F.floor(x.cast("double") * F.lit(1e6) + F.lit(0.5)).cast("decimal(38,0)")
+    return F.sum(millionths).cast("double") / F.lit(1e6)
+
+
 def clamp01(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.formulas import evaluate
-from tallyspark.functions.numbers import cents, deviation_pct, from_cents, sum_money
+from tallyspark.functions.numbers import cents, deviation_pct, from_cents, money, sum_money, sum_quantity
 
 
 def truth_totals(trades: DataFrame, key: str = "project_id") -> DataFrame:
@@ -57,9 +57,9 @@ def structure_counts(items: DataFrame, key: str) -> DataFrame:
 def budget_estimates(
     items: DataFrame, formulas: Sequence[str], variables: Mapping[str, Column], key: str = "fixture"
 ) -> DataFrame:
-    """Sum of formula quantity times rate per key."""
+    """Sum of formula quantity times rate per key, rounded once at the end."""
     quantity = evaluate(F.col("formula"), formulas, variables)
-    return items.groupBy(key).agg(sum_money(quantity * F.col("rate")).alias("estimate"))
+    return items.groupBy(key).agg(money(sum_quantity(quantity * F.col("rate"))).alias("estimate"))
 
 
 def budget_verdicts(
@@ -139,7 +139,7 @@ def detection_quality(compared: DataFrame, by: str) -> DataFrame:
 
 def area_check(rooms: DataFrame, stated: DataFrame, key: str, tolerance_pct: float = 5.0) -> DataFrame:
     """Sum of detected areas against the area stated for the drawing."""
-    sums = rooms.groupBy(key).agg(sum_money(F.col("area")).alias("actual"))
+    sums = rooms.groupBy(key).agg(sum_quantity(F.col("area")).alias("actual"))
     joined = stated.select(key, F.col("area").alias("expected")).join(sums, key, "left")
     return tolerance_gate(joined.withColumn("actual", F.coalesce("actual", F.lit(0.0))), tolerance_pct)
 

@@ -21,7 +21,7 @@ def first_override(label: Column, overrides: list) -> Column:
     """
     text = F.lower(F.coalesce(label, F.lit("")))
     chosen = None
-    for o in sorted(overrides, key=lambda o: o["priority"]):
+    for o in sorted(overrides, key=lambda o: (o["priority"], o["key"])):
         rule = F.struct(F.lit(o["key"]).alias("key"), *[F.lit(o[f]).alias(f) for f in _OVERRIDE_FIELDS])
         inside = F.contains(text, F.lit(o["key"]))
         chosen = F.when(inside, rule) if chosen is None else chosen.when(inside, rule)
@@ -34,9 +34,11 @@ def with_override(
     """Add `override`, the rule struct chosen by the label, null where none applies.
 
     A short list becomes a literal inside the row expression, with no join. A
-    longer one is matched on the different labels and joined back by label.
+    longer one is matched on the different labels and joined back by label. Both
+    give the same rows: empty keys match nothing, equal priorities go by key.
     """
     concerned = F.col("object_type") == override_type
+    overrides = overrides.where(F.length("key") > 0)
     short = overrides.limit(max_inline + 1).collect()
     if not short:
         return objects.withColumn("override", F.lit(None).cast(
@@ -48,7 +50,7 @@ def with_override(
     chosen = (
         pairs.join(overrides, F.col("pattern") == F.col("key"))
         .groupBy("text")
-        .agg(F.min_by(F.struct("key", *_OVERRIDE_FIELDS), "priority").alias("override"))
+        .agg(F.min_by(F.struct("key", *_OVERRIDE_FIELDS), F.struct("priority", "key")).alias("override"))
     )
     # rows the overrides do not concern get spread keys that match nothing
     other = F.concat(F.lit("\u0000"), (F.xxhash64("drawing_id", "id") % 997).cast("string"))
@@ -75,6 +77,9 @@ def expand_lines(
 ) -> DataFrame:
     """One bill line per object that has a rule, for all projects at once.
 
+    The id of a line is a hash of its object and the version of the rules, so a
+    rerun gives the same ids.
+
     The rule join carries no hint: a literal rule table is broadcast by its
     known size, a large one is shuffled and AQE splits a hot object type.
     """
@@ -90,6 +95,7 @@ def expand_lines(
     return matched.select(
         "project_id",
         "drawing_id",
+        F.xxhash64(F.col("id"), F.lit(ruleset_version)).alias("id"),
         F.col("id").alias("detected_object_id"),
         line_description(F.col("label"), F.col("object_type"), chosen["material"]).alias("description"),
         chosen["trade"].alias("trade"),

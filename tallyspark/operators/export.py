@@ -154,13 +154,15 @@ def workbook(
     bought = purchases.groupBy("project_id", "vendor_name").agg(
         F.count("*").alias("lines"), from_cents(F.sum(cents(F.col("total")))).alias("total")
     )
+    # names may recur; the city is that of the vendor with the least id
+    one_per_name = vendors.groupBy(F.col("name").alias("vendor_name")).agg(F.min_by("city", "id").alias("city"))
     return {
         "summary": figures.withColumnRenamed("total", "grand_total"),
         "detailed": lines.join(
             projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id", "left"
         ),
         "materials": materials_summary(lines),
-        "vendors": bought.join(vendors.select(F.col("name").alias("vendor_name"), "city"), "vendor_name", "left"),
+        "vendors": bought.join(one_per_name, "vendor_name", "left"),
     }
 
 

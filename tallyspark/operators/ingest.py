@@ -135,15 +135,17 @@ def fallback_array(template: Sequence[tuple] = FALLBACK_DETECTIONS) -> Column:
 def with_fallback(
     drawings: DataFrame, detections: DataFrame, template: Sequence[tuple] = FALLBACK_DETECTIONS
 ) -> DataFrame:
-    """Detections of all drawings; a drawing that has none gets the template.
+    """Detections of all drawings with their `origin`; a drawing whose call failed gets the template.
 
-    The template is exploded from a literal array, so no cross join is needed.
+    An answer that is empty or unreadable gives no objects. The template is
+    exploded from a literal array, so no cross join is needed.
     """
-    empty = drawings.select("project_id", "drawing_id").join(
+    empty = drawings.where(F.col("failed")).select("project_id", "drawing_id").join(
         detections.select("drawing_id").distinct(), "drawing_id", "left_anti"
     )
     filled = empty.select("project_id", "drawing_id", F.posexplode(fallback_array(template)).alias("pos", "o"))
-    return detections.select("project_id", "drawing_id", "pos", "o").unionByName(filled)
+    found = detections.select("project_id", "drawing_id", "pos", "o", F.lit("response").alias("origin"))
+    return found.unionByName(filled.withColumn("origin", F.lit("template")))
 
 
 def drawing_status(drawings: DataFrame, objects: DataFrame) -> DataFrame:

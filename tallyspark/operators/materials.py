@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.numbers import money, sum_money
+from tallyspark.functions.numbers import money, sum_money, sum_quantity
 from tallyspark.functions.text import brand_and_name
 from tallyspark.operators.boq import trade_name
 from tallyspark.operators.textmatch import contains_pairs, prefixes
@@ -199,7 +199,7 @@ def purchase_list(purchases: DataFrame) -> DataFrame:
     """Quantity and amount to buy per project, vendor and material."""
     return purchases.groupBy("project_id", "vendor_name", "material_id").agg(
         F.count("*").alias("lines"),
-        sum_money(F.col("quantity")).alias("quantity"),
+        sum_quantity(F.col("quantity")).alias("quantity"),
         sum_money(F.col("total")).alias("total"),
     )
 
@@ -208,7 +208,7 @@ def materials_summary(lines: DataFrame) -> DataFrame:
     """Quantity and amount per project and material."""
     return lines.groupBy("project_id", F.coalesce("material_name", F.lit("")).alias("material_name")).agg(
         F.count("*").alias("lines"),
-        sum_money(F.col("quantity")).alias("quantity"),
+        sum_quantity(F.col("quantity")).alias("quantity"),
         sum_money(F.col("total")).alias("total"),
     )
 
@@ -232,8 +232,9 @@ def labour_costs(lines: DataFrame, labour_rates: DataFrame) -> DataFrame:
 
 
 def with_wastage(lines: DataFrame, wastage: DataFrame) -> DataFrame:
-    """Quantity raised by the wastage percentage of the material."""
-    return lines.join(wastage.select("material_name", "wastage_pct"), "material_name", "left").withColumn(
+    """Quantity raised by the wastage percentage of the material, the highest if a material has several."""
+    known = wastage.groupBy("material_name").agg(F.max("wastage_pct").alias("wastage_pct"))
+    return lines.join(known, "material_name", "left").withColumn(
         "quantity_with_wastage",
         F.col("quantity") * (F.lit(1.0) + F.coalesce("wastage_pct", F.lit(0.0)) / F.lit(100.0)),
     )
@@ -246,7 +247,7 @@ def durations(lines: DataFrame, labour_rates: DataFrame) -> DataFrame:
     """
     speed = labour_rates.groupBy("trade").agg(F.max("productivity").cast("double").alias("productivity"))
     amounts = lines.groupBy("project_id", trade_name().alias("trade")).agg(
-        sum_money(F.col("quantity")).alias("quantity")
+        sum_quantity(F.col("quantity")).alias("quantity")
     )
     return amounts.join(speed, "trade", "left").select(
         "project_id",

@@ -4,12 +4,15 @@ A plain window puts all rows of a key into one task. Here the rows of a key are
 cut into blocks by a column that never decreases along the order (an id range,
 a day): the window runs within (key, block), one small row per block carries
 the total or the last value over, and the two are joined on (key, block).
-Results equal those of the plain window. Keys and the block must not be null.
+Results equal those of the plain window. Null keys and null blocks are values
+like others; a null block comes first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +46,13 @@ def fitting_time_block(df: DataFrame, column: str, seconds: int | None = None) -
     return time_block(column, seconds)
 
 
+def _joined(rows: DataFrame, carried: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows with what is carried over into their block; nulls equal nulls."""
+    renamed = carried.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return rows.join(renamed, reduce(and_, same))
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -72,7 +82,7 @@ def running_totals(
         *[F.sum(f"_sum_{name}").over(every).alias(f"{name}_whole") for name in totals if whole],
     )
     local = blocked.withColumns({name: F.sum(value).over(within) for name, value in totals.items()})
-    joined = local.join(carried, [*keys, "_block"])
+    joined = _joined(local, carried, [*keys, "_block"])
     return joined.select(
         *df.columns,
         *[(F.col(name) + F.col(f"_before_{name}")).alias(name) for name in totals],
@@ -124,7 +134,7 @@ def neighbours(
     local = blocked.withColumns(
         {f"_near_{side}": shift(packed).over(within) for side, (packed, shift, _, _) in sides.items()}
     )
-    joined = local.join(carried, [*keys, "_block"])
+    joined = _joined(local, carried, [*keys, "_block"])
     return joined.select(
         *df.columns,
         *[

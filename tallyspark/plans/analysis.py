@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers as N
@@ -13,6 +15,7 @@ from tallyspark.operators import (
     diagnostics,
     evaluate,
     expand,
+    export,
     ingest,
     maintenance,
     materials,
@@ -25,6 +28,7 @@ from tallyspark.plans.bindings import (
     half_up_sql,
     money_sql,
     sum_money_sql,
+    sum_quantity_sql,
 )
 from tallyspark.plans.estimate import estimate, overview
 from tallyspark.plans.reading import _HEIGHTS_SQL, _ROLL_SQL, _CATEGORY_SQL, _kinds
@@ -257,7 +261,7 @@ def _(t: Tables):
 @query(
     "j13_fallback_detections",
     """SELECT drawing_id, 'template' AS origin, CAST(20 AS BIGINT) AS objects, CAST(147 AS DOUBLE) AS estimate
-      FROM (SELECT event_id AS drawing_id FROM events WHERE event_id % 5 IN (2, 3))
+      FROM (SELECT event_id AS drawing_id FROM events WHERE event_id % 10 = 3)
     UNION ALL SELECT drawing_id, 'response', count(*), CAST(sum(quantity_estimate) AS DOUBLE) FROM detections GROUP BY 1""",
     ("detections",),
 )
@@ -265,8 +269,7 @@ def _(t: Tables):
     asked = t.responses
     found = detections.explode_detections(asked, first=200)
     all_rows = ingest.with_fallback(asked, found)
-    return all_rows.groupBy("drawing_id").agg(
-        F.when(F.count("*") == 20, "template").otherwise("response").alias("origin"),
+    return all_rows.groupBy("drawing_id", "origin").agg(
         F.count("*").alias("objects"),
         F.sum("o.quantity_estimate").alias("estimate"),
     )
@@ -317,22 +320,23 @@ def _(t: Tables):
     return _compared(t)
 
 
-def _offers(t: Tables, flag: str):
-    rows = t.raw("lineitem").where(F.col("l_returnflag") == flag)
+def _offers(t: Tables, status: str):
+    """One of two sides that together hold every row."""
+    rows = t.raw("lineitem").where(F.col("l_linestatus") == status)
     return rows.select(F.col("l_partkey").alias("material_id"), F.col("l_suppkey").alias("vendor_id"))
 
 
-def _offers_sql(flag: str) -> str:
-    return f"SELECT l_partkey AS material_id, l_suppkey AS vendor_id FROM lineitem WHERE l_returnflag = '{flag}'"
+def _offers_sql(status: str) -> str:
+    return f"SELECT l_partkey AS material_id, l_suppkey AS vendor_id FROM lineitem WHERE l_linestatus = '{status}'"
 
 
 @query(
     "j17_reconcile",
-    f"""SELECT *, 'missing' AS side FROM ({_offers_sql('A')} EXCEPT {_offers_sql('N')})
-    UNION ALL SELECT *, 'unexpected' FROM ({_offers_sql('N')} EXCEPT {_offers_sql('A')})""",
+    f"""SELECT *, 'missing' AS side FROM ({_offers_sql('F')} EXCEPT {_offers_sql('O')})
+    UNION ALL SELECT *, 'unexpected' FROM ({_offers_sql('O')} EXCEPT {_offers_sql('F')})""",
 )
 def _(t: Tables):
-    return evaluate.reconcile(_offers(t, "A"), _offers(t, "N"), ["material_id", "vendor_id"])
+    return evaluate.reconcile(_offers(t, "F"), _offers(t, "O"), ["material_id", "vendor_id"])
 
 
 # ------------------------------------------------------------------ aggregations
@@ -571,7 +575,7 @@ def _(t: Tables):
 
 @query(
     "a21_purchase_list",
-    f"""SELECT project_id, vendor_name, material_id, CAST(count(*) AS BIGINT) AS lines, {sum_money_sql('quantity')} AS quantity,
+    f"""SELECT project_id, vendor_name, material_id, CAST(count(*) AS BIGINT) AS lines, {sum_quantity_sql('quantity')} AS quantity,
     {sum_money_sql('total')} AS total FROM purchases GROUP BY 1, 2, 3""",
     ("purchases",),
 )
@@ -581,7 +585,7 @@ def _(t: Tables):
 
 @query(
     "a22_materials_summary",
-    f"""SELECT project_id, coalesce(material_name, '') AS material_name, CAST(count(*) AS BIGINT) AS lines, {sum_money_sql('quantity')} AS quantity,
+    f"""SELECT project_id, coalesce(material_name, '') AS material_name, CAST(count(*) AS BIGINT) AS lines, {sum_quantity_sql('quantity')} AS quantity,
     {sum_money_sql('total')} AS total FROM lines GROUP BY 1, 2""",
     ("lines",),
 )
@@ -621,7 +625,7 @@ def _(t: Tables):
     "a26_area_check",
     f"""SELECT *, delta_pct <= 5.0 AS passed FROM (SELECT drawing_id, expected, actual,
       CASE WHEN expected > 0 THEN abs(actual - expected) / expected * 100.0 ELSE 100.0 END AS delta_pct FROM (
-        SELECT o_orderkey AS drawing_id, CAST(o_orderkey % 200 AS DOUBLE) AS expected, coalesce({sum_money_sql('l_quantity * 1.5')}, 0.0) AS actual
+        SELECT o_orderkey AS drawing_id, CAST(o_orderkey % 200 AS DOUBLE) AS expected, coalesce({sum_quantity_sql('l_quantity * 1.5')}, 0.0) AS actual
         FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2))""",
 )
 def _(t: Tables):
@@ -637,19 +641,19 @@ _WASTE_SQL = "CASE material_name " + " ".join(f"WHEN '{m}' THEN {p}" for m, p in
 
 @query(
     "a27_wastage",
-    f"""SELECT project_id, material_name, {sum_money_sql(f'quantity * (1.0 + CAST({_WASTE_SQL} AS DOUBLE) / 100.0)')} AS quantity
+    f"""SELECT project_id, material_name, {sum_quantity_sql(f'quantity * (1.0 + CAST({_WASTE_SQL} AS DOUBLE) / 100.0)')} AS quantity
     FROM lines GROUP BY 1, 2""",
     ("lines",),
 )
 def _(t: Tables):
     raised = materials.with_wastage(t.lines, t.wastage())
     return raised.groupBy("project_id", "material_name").agg(
-        N.sum_money(F.col("quantity_with_wastage")).alias("quantity")
+        N.sum_quantity(F.col("quantity_with_wastage")).alias("quantity")
     )
 
 
-_DAYS_SQL = f"""days AS (SELECT project_id, l.trade, {sum_money_sql('quantity')} AS quantity,
-    CASE WHEN any_value(productivity) > 0 THEN {sum_money_sql('quantity')} / any_value(productivity) END AS days
+_DAYS_SQL = f"""days AS (SELECT project_id, l.trade, {sum_quantity_sql('quantity')} AS quantity,
+    CASE WHEN any_value(productivity) > 0 THEN {sum_quantity_sql('quantity')} / any_value(productivity) END AS days
     FROM lines l LEFT JOIN labour r ON r.trade = l.trade GROUP BY 1, 2)"""
 
 
@@ -922,9 +926,9 @@ def _(t: Tables):
     return t.bill.select("trade", "unit").distinct()
 
 
-@query("e03_overlap", f"{_offers_sql('A')} INTERSECT {_offers_sql('R')}")
+@query("e03_overlap", f"{_offers_sql('F')} INTERSECT {_offers_sql('O')}")
 def _(t: Tables):
-    return evaluate.overlap(_offers(t, "A"), _offers(t, "R"), ["material_id", "vendor_id"])
+    return evaluate.overlap(_offers(t, "F"), _offers(t, "O"), ["material_id", "vendor_id"])
 
 
 @query(
@@ -944,7 +948,7 @@ def _(t: Tables):
     "e05_detections_or_template",
     """SELECT object_type, CAST(sum(n) AS BIGINT) AS n FROM (
       SELECT coalesce(object_type, 'unknown') AS object_type, count(*) AS n FROM detections GROUP BY 1
-      UNION ALL SELECT k, c * (SELECT count(*) FROM events WHERE event_id % 5 IN (2, 3)) FROM (VALUES ('cabin',3),('door',2),('furniture',3),('partition',2),
+      UNION ALL SELECT k, c * (SELECT count(*) FROM events WHERE event_id % 10 = 3) FROM (VALUES ('cabin',3),('door',2),('furniture',3),('partition',2),
         ('ceiling',1),('electrical',3),('window',2),('wall',2),('column',2)) v(k, c)) GROUP BY 1""",
     ("detections",),
 )
@@ -961,3 +965,41 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return files.first_of_each_content(files.manifest(t.uploads))
+
+
+# ------------------------------------------------------------------ operators on the engine's own lines
+
+
+def _kept_lines(t: Tables):
+    """The expanded lines after the lines of draft projects were replaced by their expansion again."""
+    scope = t.projects.where(F.col("status") == "draft").select(F.col("id").alias("project_id"))
+    lines = t.lines
+    return maintenance.replaced(lines, maintenance.in_scope(lines, scope, ["project_id"]), scope, ["project_id"])
+
+
+@query(
+    "chain_line_numbers",
+    """SELECT project_id, trade, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS last_number,
+    CAST(count(*) AS BIGINT) AS ids FROM lines GROUP BY 1, 2""",
+    ("lines",),
+)
+def _(t: Tables):
+    numbered = boq.line_numbers(_kept_lines(t).select("id", "project_id", "trade"), block_width=1 << 60)
+    return numbered.groupBy("project_id", "trade").agg(
+        F.count("*").alias("lines"), F.max("line_number").alias("last_number"), F.count_distinct("id").alias("ids")
+    )
+
+
+@query(
+    "chain_bill_sheet",
+    f"""SELECT p.id AS project_id, CAST(count(l.total) + 6 AS BIGINT) AS rows,
+    coalesce({sum_money_sql('l.total')}, 0.0) AS total FROM projects p LEFT JOIN lines l ON l.project_id = p.id GROUP BY 1""",
+    ("projects", "lines"),
+)
+def _(t: Tables):
+    sheet = export.bill_sheet(_kept_lines(t), t.projects, datetime(2024, 6, 1, tzinfo=UTC), block_width=1 << 60)
+    total = F.regexp_extract("text", r"^,,,,Grand Total,(.*)$", 1)
+    return sheet.groupBy("project_id").agg(
+        F.count("*").alias("rows"),
+        F.max(F.when(total != "", F.replace(F.replace(total, F.lit('"'), F.lit("")), F.lit(","), F.lit("")).cast("double"))).alias("total"),
+    )

@@ -310,8 +310,9 @@ class Tables:
             .when(n % 5 == 3, F.lit("I could not read the plan."))
             .otherwise(F.concat(body, F.lit(" as asked")))
         )
+        # some of the calls without an answer did not get through at all
         return self.raw("events").select(
-            F.col("user_id").alias("project_id"), n.alias("drawing_id"), text.alias("response")
+            F.col("user_id").alias("project_id"), n.alias("drawing_id"), text.alias("response"), (n % 10 == 3).alias("failed")
         )
 
     @property
@@ -392,6 +393,10 @@ def sum_money_sql(x: str) -> str:
     return f"(CAST(sum(CAST(floor(({x})*100.0+0.5) AS BIGINT)) AS DOUBLE)/100.0)"
 
 
+def sum_quantity_sql(x: str) -> str:
+    return f"(CAST(sum(CAST(floor(({x})*1000000.0+0.5) AS HUGEINT)) AS DOUBLE)/1000000.0)"
+
+
 def _value(v: object) -> str:
     if isinstance(v, str):
         return "'" + v.replace("'", "''") + "'"

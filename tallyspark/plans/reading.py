@@ -777,7 +777,7 @@ def _(t: Tables):
 def _(t: Tables):
     texts = cad.entities(t.cad_lines).where(F.col("entity") == "TEXT")
     rooms = texts.select("file", X.room_area_sqft(F.col("text")).alias("area"))
-    return rooms.groupBy("file").agg(F.count("area").alias("rooms"), N.sum_money(F.col("area")).alias("area"))
+    return rooms.groupBy("file").agg(F.count("area").alias("rooms"), N.sum_quantity(F.col("area")).alias("area"))
 
 
 # ------------------------------------------------------------------ filters

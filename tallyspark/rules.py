@@ -184,7 +184,7 @@ def keyword_overrides(boq_rules: DataFrame, version: str, counted_units: Sequenc
         F.col("active") & (F.col("ruleset_version") == version) & F.col("keywords").isNotNull()
     ).select("*", F.posexplode(F.split("keywords", ",")).alias("pos", "word"))
     return words.select(
-        (F.col("id") * 1000 + F.col("pos")).cast("long").alias("priority"),
+        F.struct(F.col("id").cast("long").alias("id"), "pos").alias("priority"),
         F.lower(F.trim("word")).alias("key"),
         "trade",
         F.coalesce("unit", F.lit("")).alias("unit"),

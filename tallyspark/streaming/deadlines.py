@@ -23,8 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def polling_budget(attempts: int = 30, first: float = 1.5, factor: float = 1.5, longest: float = 12.0) -> float:
-    """Seconds a poller waits in all: growing delays up to a longest one."""
-    return sum(min(first * factor**i, longest) for i in range(attempts))
+    """Seconds from a poller's first look to its last: growing delays up to a longest one, one between two looks."""
+    return sum(min(first * factor**i, longest) for i in range(attempts - 1))
 
 
 def _after(ts: Column, seconds: float) -> Column:

@@ -21,8 +21,8 @@ def by_trade(lines):
 
 @pytest.fixture(scope="module")
 def template(spark):
-    drawings = spark.createDataFrame([(1, 10)], "project_id long, drawing_id long")
-    none = drawings.select("*", F.lit(0).alias("pos"), F.get(ingest.fallback_array(), F.lit(0)).alias("o")).limit(0)
+    drawings = spark.createDataFrame([(1, 10, True)], "project_id long, drawing_id long, failed boolean")
+    none = drawings.select("project_id", "drawing_id", F.lit(0).alias("pos"), F.get(ingest.fallback_array(), F.lit(0)).alias("o")).limit(0)
     rows = ingest.normalised(ingest.with_fallback(drawings, none), 0.7, "rule")
     return rows.withColumn("id", F.col("pos").cast("long"))
 

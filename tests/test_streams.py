@@ -136,7 +136,7 @@ def test_readiness(spark, tmp_path):
     got = {r["drawing_id"]: r["outcome"] for r in runs.appended(stream, "t-ready").collect()}
     # drawing 4 is still within its time when the stream ends
     assert got == {1: "processed", 2: "timeout", 3: "timeout"}
-    assert deadlines.polling_budget() == pytest.approx(319.171875)
+    assert deadlines.polling_budget() == pytest.approx(307.171875)
 
 
 def test_stuck_work(spark, tmp_path):
