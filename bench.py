@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
 from tallyspark.plans import catalogue
 from tallyspark.session import build_session
 
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 HEADLINE = (
     "a03_cost_rollup",
     "a01_trade_summary",
@@ -46,9 +48,12 @@ def main() -> None:
     spark.range(1_000_000).selectExpr("sum(id % 7)").collect()  # start the JVM's code paths once
     times: dict[str, float] = {}
     for name in HEADLINE:
-        begun = time.perf_counter()
-        registered[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - begun, 3)
+        runs = []
+        for _ in range(1 + REPEATS):  # the first run loads classes and does not count
+            begun = time.perf_counter()
+            registered[name](spark, folder).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - begun)
+        times[name] = round(statistics.median(runs[1:]), 3)
         print(name, times[name], file=sys.stderr)
     print(
         json.dumps(

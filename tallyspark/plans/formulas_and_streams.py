@@ -398,6 +398,8 @@ def _(t: Tables):
             parts, F.col("l_partkey") == F.col("p_partkey")
         )
     )
+    # a drawing's objects may come in several files: they are one upload
+    objects = objects.withColumn("upload_id", F.lit(0).cast("long"))
     handle, path = live.expand_batches(t.spark, lambda batch: expand_with(batch, BOUND_RULES), "reexpand")
     runs.drain(objects, "reexpand", "append", handle)
     lines = live.current_lines(t.spark, path, t.lines.schema)

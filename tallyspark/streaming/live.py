@@ -80,24 +80,32 @@ def events_on_lines(events: DataFrame, lines: DataFrame) -> DataFrame:
 def expand_batches(
     spark: SparkSession, expand: Callable[[DataFrame], DataFrame], name: str
 ) -> tuple[Callable[[DataFrame, int], None], str]:
-    """A batch handler that expands new detections and records which drawings they replace."""
+    """A batch handler that expands new detections and records which drawings they replace.
+
+    With an `upload_id` the rows of an upload may come in several batches, and the
+    greatest id of a drawing counts; without one each batch is an upload.
+    """
     path = new_path(spark, f"lines-{name}")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        scope = batch.groupBy("project_id", "drawing_id").agg(F.count("*").alias("objects"))
+        upload = F.col("upload_id").cast("long") if "upload_id" in batch.columns else F.lit(batch_id).cast("long")
+        batch = batch.withColumn("upload_id", upload).persist()
+        scope = batch.groupBy("project_id", "drawing_id").agg(F.max("upload_id").alias("upload_id"))
         scope.write.mode("overwrite").parquet(f"{path}/scope/batch_id={batch_id}")
-        expand(batch).write.mode("overwrite").parquet(f"{path}/lines/batch_id={batch_id}")
+        newest = batch.join(scope, ["project_id", "drawing_id", "upload_id"], "left_semi").drop("upload_id")
+        expand(newest).write.mode("overwrite").parquet(f"{path}/lines/batch_id={batch_id}")
         batch.unpersist()
 
     return handle, path
 
 
 def current_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Lines of the last batch of each drawing; a drawing whose last batch gave no
-    lines has none."""
-    scope = spark.read.schema("project_id long, drawing_id long, batch_id long").parquet(f"{path}/scope")
-    newest = scope.groupBy("project_id", "drawing_id").agg(F.max("batch_id").alias("batch_id"))
+    """Lines of the last upload of each drawing, from all batches it came in; a
+    drawing whose last upload gave no lines has none."""
+    columns = "project_id long, drawing_id long, upload_id long, batch_id long"
+    scope = spark.read.schema(columns).parquet(f"{path}/scope")
+    last = scope.groupBy("project_id", "drawing_id").agg(F.max("upload_id").alias("upload_id"))
+    newest = scope.join(last, ["project_id", "drawing_id", "upload_id"], "left_semi").drop("upload_id")
     stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     lines = spark.read.schema(stored).parquet(f"{path}/lines")
     return lines.join(newest, ["project_id", "drawing_id", "batch_id"], "left_semi").drop("batch_id")

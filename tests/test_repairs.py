@@ -90,3 +90,15 @@ def test_expanded_lines_go_through_numbering_and_the_sheet(spark):
 
     sheet = export.bill_sheet(lines, projects, datetime(2024, 6, 1, tzinfo=UTC), block_width=1 << 60)
     assert sheet.filter(F.col("text").endswith("Grand Total,427150")).count() == 1
+
+
+def test_an_upload_in_several_batches_keeps_all_its_lines(spark):
+    from tallyspark.streaming import live
+
+    schema = "project_id long, drawing_id long, id long, upload_id long"
+    batches = [[(1, 1, 10, 1), (1, 2, 20, 1)], [(1, 1, 11, 1)], [(1, 2, 21, 2), (1, 2, 22, 1)]]
+    handle, path = live.expand_batches(spark, lambda b: b, "several")
+    for i, rows in enumerate(batches):
+        handle(spark.createDataFrame(rows, schema), i)
+    kept = live.current_lines(spark, path, spark.createDataFrame([], "project_id long, drawing_id long, id long").schema)
+    assert sorted(r.id for r in kept.collect()) == [10, 11, 21]
