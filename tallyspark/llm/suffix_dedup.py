@@ -316,6 +316,7 @@ def _repeated(keyed: DataFrame, length: int, keep_first: bool, group: int) -> tu
         "suffix-anchors",
     )
     several = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    several = stored(several, "suffix-several")  # apart from the join, whose hot anchors can then be split
     back = F.least(F.col("pos"), F.lit(length - gram_of(length)))
     hits = stored(
         found.select("did", "rid", "pos", "ahead", "anchor", "context").join(several, "anchor"), "suffix-hits"
