@@ -306,6 +306,7 @@ def near_duplicates(
         F.col("r.sid").alias("rid"), F.col("r.n_sampled").alias("n_sampled"), F.posexplode("r.tokens").alias("i", "token")
     ).select("rid", "token", F.when(F.col("i") < F.col("n_sampled"), F.lit(-1)).otherwise(F.col("i")).alias("place"))
     common = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
+    common = stored(common, "jaccard-common")  # apart from the join, whose hot shingles can then be split
     lists = tokens.join(common, "token").groupBy("rid").agg(F.collect_list(F.struct("token", "place", "df")).alias("x"))
     listed = lists.join(filled.select("sid", "n", "n_sampled"), F.col("rid") == F.col("sid")).select(
         "rid", "n", "n_sampled", "x.token", "x.place", "x.df"
