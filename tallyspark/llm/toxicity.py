@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,7 +132,7 @@ def fit(texts: list[list[bytes]], toxic: np.ndarray, seed: int = 7, rounds: int
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, fitted=False)
     vocabulary: dict[bytes, int] = {}
     texts_with: list[int] = []
-    begins, members, owner = [0], [], []
+    begins, members, owner = [0], array("i"), []
     for i, words in enumerate(texts):
         places = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
         texts_with += [0] * (len(vocabulary) - len(texts_with))
@@ -139,12 +140,15 @@ def fit(texts: list[list[bytes]], toxic: np.ndarray, seed: int = 7, rounds: int
             texts_with[place] += 1
         for j in range(0, len(places), WINDOW):
             if part := places[j : j + WINDOW]:
-                members += part
+                members.extend(part)
                 begins.append(len(members))
                 owner.append(i)
-    bags = [pieces_of(w) for w in vocabulary]
-    sizes = np.array([len(b) for b in bags], dtype=np.int64)
-    pieces, starts = np.concatenate(bags), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat, lengths_of = array("i"), []
+    for word in vocabulary:
+        bag = pieces_of(word)
+        flat.extend(bag)
+        lengths_of.append(len(bag))
+    sizes, pieces = np.array(lengths_of, dtype=np.int64), np.frombuffer(flat, dtype=np.int32)
     used, pieces = np.unique(pieces, return_inverse=True)
     frequent = np.bincount(pieces, weights=np.repeat(texts_with, sizes)) >= LEAST_TEXTS
     members, owner = np.array(members, dtype=np.int64), np.array(owner, dtype=np.int64)
