@@ -43,7 +43,7 @@ from tallyspark.llm.shared import rows_of, text_or_empty
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHED_UNITS = 400_000
+CACHED_UNITS = 700_000
 LONGEST_CACHED = 64
 UNKNOWN = -1
 NEVER = -1e300
