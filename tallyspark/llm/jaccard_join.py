@@ -46,36 +46,25 @@ from tallyspark.llm.shared import rows_of, small, stored, text_or_empty
 MOST_MATCHES = 4
 SURPLUS = 1.5
 VERIFY_COST = 8.0
-CACHED_WORDS = 500_000
 BLOCK = 512
 FREQUENT = 1 << 17
-COUNTED_TOGETHER, COUNTED_FROM = 4000, 4
+COUNTED_TOGETHER, COUNTED_FROM = 3000, 3
 DENSE = 32
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word → 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, size: int, hashes: dict) -> np.ndarray:
+def shingles(text: str, size: int) -> np.ndarray:
     """Different shingle hashes of a text, ascending."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     span = min(size, len(words))
     value = np.full(len(words) - span + 1, 0 if span == size else span, np.uint64)
     for i in range(span):
@@ -96,9 +85,8 @@ def _frequent(texts: DataFrame, size: int) -> np.ndarray:
     """The most frequent shingles, ascending; all documents are counted, in parts, and parts leave out their rare ones."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for rows in rows_of(batches, COUNTED_TOGETHER):
-            tokens, n = np.unique(np.concatenate([shingles(t, size, hashes) for t in rows["text"]]), return_counts=True)
+            tokens, n = np.unique(np.concatenate([shingles(t, size) for t in rows["text"]]), return_counts=True)
             yield pd.DataFrame({"token": tokens[n >= COUNTED_FROM], "n": n[n >= COUNTED_FROM]})
 
     counts = texts.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -114,11 +102,11 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, frequent = WordHashes(), sent.value
+        frequent = sent.value
         for rows in rows_of(batches, 1000):
             out = []
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                own = shingles(text, size, hashes)
+                own = shingles(text, size)
                 late = np.zeros(own.size, bool)
                 if frequent.size:
                     late = frequent[np.minimum(np.searchsorted(frequent, own), frequent.size - 1)] == own
@@ -142,9 +130,8 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for rows in rows_of(batches, 500):
-            own = [shingles(t, size, hashes) for t in rows["text"]]
+            own = [shingles(t, size) for t in rows["text"]]
             digests = [np.frombuffer(xxhash.xxh3_128_digest(o.tobytes()), np.int64) for o in own]
             yield pd.DataFrame({"set_a": [d[0] for d in digests], "set_b": [d[1] for d in digests], "own": own})
 

@@ -49,7 +49,7 @@ LEAST_TEXTS = 5
 DOUBTFUL = 0.15
 SAMPLE_WORDS = 4096
 PART = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 RUN = 256
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 
