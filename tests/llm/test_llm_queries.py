@@ -7,6 +7,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyspark.llm import queries, toxicity
@@ -59,7 +60,7 @@ def test_pipeline_against_a_plain_version(spark):
         results[name] = kept.collect()
         if name != "piece encoding":
             assert kept.columns == docs.columns
-    model = toxicity.train(docs, table(spark, FOLDER, "labels"), learn_from=~toxicity.held_out(docs["doc_id"]))
+    model = toxicity.train(docs, table(spark, FOLDER, "labels"), learn_from=~toxicity.held_out(F.col("doc_id")))
     clean = {r.doc_id for r in toxicity.scores(docs, model).collect() if r.score < 0.7}
     assert {r.doc_id for r in results["toxicity"]} == clean
 
