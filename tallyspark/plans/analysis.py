@@ -203,6 +203,8 @@ def _(t: Tables):
       UNION ALL SELECT 'lines.project', project_id FROM bill WHERE project_id NOT IN (SELECT id FROM projects WHERE status <> 'sent')
       UNION ALL SELECT 'lines.rule', rule_id FROM bill WHERE rule_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 9)
       UNION ALL SELECT 'objects.drawing', drawing_id FROM objects WHERE drawing_id NOT IN (SELECT id FROM drawings WHERE status <> 'uploaded')
+      UNION ALL SELECT 'objects.project', project_id FROM objects WHERE project_id NOT IN (SELECT id FROM projects WHERE status <> 'sent')
+      UNION ALL SELECT 'lines.drawing', drawing_id FROM bill WHERE drawing_id NOT IN (SELECT id FROM drawings WHERE status <> 'uploaded')
       UNION ALL SELECT 'versions.project', project_id FROM versions WHERE project_id NOT IN (SELECT id FROM projects)) GROUP BY 1, 2""",
     ("projects", "drawings", "bill", "objects", "versions"),
 )
@@ -216,6 +218,8 @@ def _(t: Tables):
             quality.orphans(t.bill, "project_id", kept, "id", "lines.project"),
             quality.orphans(t.bill, "rule_id", rules, "id", "lines.rule"),
             quality.orphans(t.objects, "drawing_id", drawings, "id", "objects.drawing"),
+            quality.orphans(t.objects, "project_id", kept, "id", "objects.project"),
+            quality.orphans(t.bill, "drawing_id", drawings, "id", "lines.drawing"),
             quality.orphans(t.versions, "project_id", t.projects, "id", "versions.project"),
         ]
     )

@@ -19,6 +19,7 @@ from tallyspark.plans.bindings import (
     money_sql,
     pick_sql,
     sum_money_sql,
+    sum_quantity_sql,
 )
 from tallyspark.plans.registry import indian_sql, query, stamp, stamp_sql
 from tallyspark.session import new_path
@@ -443,6 +444,16 @@ def _(t: Tables):
     return t.spark.read.schema(sheet.schema).parquet(f"{path}/detailed")
 
 
+@query(
+    "k11_sheet_materials",
+    f"""SELECT project_id, coalesce(material_name, '') AS material_name, CAST(count(*) AS BIGINT) AS lines,
+    {sum_quantity_sql('quantity')} AS quantity, {sum_money_sql('total')} AS total FROM lines GROUP BY 1, 2""",
+    ("lines",),
+)
+def _(t: Tables):
+    return _workbook(t)["materials"].select("project_id", "material_name", "lines", "quantity", "total")
+
+
 @query(
     "k11_sheet_vendors",
     f"""SELECT p.project_id, p.vendor_name, v.city, CAST(count(*) AS BIGINT) AS lines, {sum_money_sql('p.total')} AS total
@@ -872,6 +883,26 @@ def _(t: Tables):
     return broken.groupBy("key", "rule").agg(F.count("*").alias("n"))
 
 
+@query(
+    "f08_state_violations",
+    """SELECT key, rule, CAST(count(*) AS BIGINT) AS n FROM (
+      SELECT CAST(c_custkey AS VARCHAR) AS key, 'project status' AS rule FROM customer WHERE c_custkey % 7 = 0
+      UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'drawing status' FROM orders WHERE o_orderstatus = 'P'
+      UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'detection source' FROM lineitem WHERE l_returnflag = 'R'
+      UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'confidence' FROM lineitem WHERE (l_discount + 0.0) * 20.0 - 0.5 NOT BETWEEN 0 AND 1) GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    projects = t.projects.withColumn("status", F.when(F.col("id") % 7 == 0, "closed").otherwise(F.col("status")))
+    drawings = t.drawings.withColumn("status", F.when(F.col("status") == "processing", "lost").otherwise(F.col("status")))
+    flag = F.col("l_returnflag")
+    objects = t.raw("lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        ((F.col("l_discount") + 0.0) * 20.0 - 0.5).alias("confidence"),
+        F.when(flag == "A", "ai").when(flag == "N", "rule").otherwise("none").alias("detection_source"),
+    )
+    return quality.state_violations(projects, drawings, objects).groupBy("key", "rule").agg(F.count("*").alias("n"))
+
+
 @query(
     "f09_master_data",
     """SELECT sku AS key, 'sku not unique' AS rule FROM materials GROUP BY 1 HAVING count(*) > 1
