@@ -11,8 +11,6 @@ like others; a null block comes first.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,11 +44,16 @@ def fitting_time_block(df: DataFrame, column: str, seconds: int | None = None) -
     return time_block(column, seconds)
 
 
-def _joined(rows: DataFrame, carried: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows with what is carried over into their block; nulls equal nulls."""
-    renamed = carried.withColumnsRenamed({c: f"_on_{c}" for c in on})
-    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
-    return rows.join(renamed, reduce(and_, same))
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Rows with their block and `_at`, key and block as one value, which is never null itself.
+
+    Windows, sums and the join all go by `_at`, so rows are shuffled once for the three.
+    """
+    return df.withColumn("_block", block).withColumn("_at", F.struct(*keys, "_block"))
+
+
+def _by_block(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return sums.select("*", *[F.col("_at")[c].alias(c) for c in [*keys, "_block"]])
 
 
 def running_totals(
@@ -66,23 +69,20 @@ def running_totals(
     With `whole`, the sum over all rows of the key is added as `<name>_whole`.
     """
     keys = list(keys)
-    blocked = df.withColumn("_block", block)
-    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
+    blocked = _blocked(df, keys, block)
+    within = Window.partitionBy("_at").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     every = earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = blocked.groupBy(*keys, "_block").agg(
-        *[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()]
-    )
-    carried = sums.select(
-        *keys,
-        "_block",
+    sums = blocked.groupBy("_at").agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()])
+    carried = _by_block(sums, keys).select(
+        "_at",
         *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in totals],
         *[F.sum(f"_sum_{name}").over(every).alias(f"{name}_whole") for name in totals if whole],
     )
     local = blocked.withColumns({name: F.sum(value).over(within) for name, value in totals.items()})
-    joined = _joined(local, carried, [*keys, "_block"])
+    joined = local.join(carried, "_at")
     return joined.select(
         *df.columns,
         *[(F.col(name) + F.col(f"_before_{name}")).alias(name) for name in totals],
@@ -111,8 +111,8 @@ def neighbours(
     `previous` and `following` map columns to the names of their shifted values.
     """
     keys = list(keys)
-    blocked = df.withColumn("_block", block)
-    within = Window.partitionBy(*keys, "_block").orderBy(*order)
+    blocked = _blocked(df, keys, block)
+    within = Window.partitionBy("_at").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_block")
     moment = F.struct(*order)
     sides = {
@@ -123,18 +123,17 @@ def neighbours(
         )
         if names
     }
-    edges = blocked.groupBy(*keys, "_block").agg(
+    edges = blocked.groupBy("_at").agg(
         *[edge(packed, moment).alias(f"_edge_{side}") for side, (packed, _, edge, _) in sides.items()]
     )
-    carried = edges.select(
-        *keys,
-        "_block",
+    carried = _by_block(edges, keys).select(
+        "_at",
         *[shift(f"_edge_{side}").over(across).alias(f"_carried_{side}") for side, (_, shift, _, _) in sides.items()],
     )
     local = blocked.withColumns(
         {f"_near_{side}": shift(packed).over(within) for side, (packed, shift, _, _) in sides.items()}
     )
-    joined = _joined(local, carried, [*keys, "_block"])
+    joined = local.join(carried, "_at")
     return joined.select(
         *df.columns,
         *[
