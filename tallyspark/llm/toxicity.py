@@ -12,7 +12,8 @@ text counts as toxic with a share of the text's weight; in later rounds only its
 most toxic window does, and the share `DOUBTFUL` of the toxic texts that the
 model finds least toxic is left out, as labels err. Pieces of under `LEAST_TEXTS` sampled
 texts keep a zero vector, so that no single text is learnt by heart. A text's score is that of its most toxic window of any
-position, put on the scale of probabilities by a logistic fit over the texts.
+position, put on the scale of probabilities by a logistic fit over texts that the
+model had not seen.
 
 Fitting takes a bounded sample of labelled rows, at most `rows_per_class` texts
 of each class, the first by a hash of the id; a sampled text longer than
@@ -125,11 +126,38 @@ def _adam(value: np.ndarray, slope: np.ndarray, state: list, step: int, rate: fl
     value -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
 
 
+def _reached(model: Model, texts: list[list[bytes]]) -> np.ndarray:
+    scorer = Scorer(model)
+    return np.array([scorer.logit(b" ".join(w).decode("utf-8", "replace")) for w in texts])
+
+
 def fit(texts: list[list[bytes]], toxic: np.ndarray, seed: int = 7, rounds: int = 3, steps: int = 40) -> Model:
-    """Train on texts given as words; `toxic` holds 0 or 1 for each."""
+    """Train on texts given as words; `toxic` holds 0 or 1 for each.
+
+    The scale comes from texts that a model has not seen: each half of them is scored by
+    a model of the other half.
+    """
     toxic = np.asarray(toxic, dtype=np.float64)
     if not len(texts) or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, fitted=False)
+    reached = np.zeros(len(texts))
+    half = np.zeros(len(texts), bool)
+    for label in (0, 1):
+        half[np.flatnonzero(toxic == label)[::2]] = True
+    for own in (half, ~half):
+        learnt = np.flatnonzero(~own)
+        if len({*toxic[learnt]}) < 2:
+            learnt = np.arange(len(texts))
+        model = _train([texts[i] for i in learnt], toxic[learnt], seed, rounds, steps)
+        reached[own] = _reached(model, [texts[i] for i in np.flatnonzero(own)])
+    model = _train(texts, toxic, seed, rounds, steps)
+    sure = (toxic == 0) | (reached >= np.quantile(reached[toxic == 1], DOUBTFUL))
+    model.scale, model.shift = _logistic(reached[sure], toxic[sure])
+    return model
+
+
+def _train(texts: list[list[bytes]], toxic: np.ndarray, seed: int, rounds: int, steps: int) -> Model:
+    """Vectors and layer, as one number per piece and a bias; the scale is left open."""
     vocabulary: dict[bytes, int] = {}
     texts_with: list[int] = []
     begins, members, owner = [0], array("i"), []
@@ -200,12 +228,7 @@ def fit(texts: list[list[bytes]], toxic: np.ndarray, seed: int = 7, rounds: int
 
     pull = np.zeros(BUCKETS, np.float32)
     pull[used] = (vectors @ layer) @ np.array([-1.0, 1.0])
-    model = Model(pull, float(bias[1] - bias[0]), 1.0, 0.0)
-    scorer = Scorer(model)
-    reached = np.array([scorer.logit(b" ".join(w).decode("utf-8", "replace")) for w in texts])
-    sure = (toxic == 0) | (reached >= np.quantile(reached[toxic == 1], DOUBTFUL))
-    model.scale, model.shift = _logistic(reached[sure], toxic[sure])
-    return model
+    return Model(pull, float(bias[1] - bias[0]), 1.0, 0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
