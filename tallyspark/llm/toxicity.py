@@ -48,6 +48,7 @@ SHORTEST, LONGEST = 3, 5
 WINDOW = 12
 LEAST_TEXTS = 5
 DOUBTFUL = 0.15
+CLEAN_WEIGHT = 0.6  # blaming a clean text is worse than missing a toxic one
 SAMPLE_WORDS = 4096
 PART = 64
 CACHED_WORDS = 250_000
@@ -142,8 +143,9 @@ def fit(texts: list[list[bytes]], toxic: np.ndarray, seed: int = 7, rounds: int
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, fitted=False)
     reached = np.zeros(len(texts))
     half = np.zeros(len(texts), bool)
+    random = np.random.default_rng(seed)
     for label in (0, 1):
-        half[np.flatnonzero(toxic == label)[::2]] = True
+        half[random.permutation(np.flatnonzero(toxic == label))[::2]] = True
     for own in (half, ~half):
         learnt = np.flatnonzero(~own)
         if len({*toxic[learnt]}) < 2:
@@ -232,10 +234,10 @@ def _train(texts: list[list[bytes]], toxic: np.ndarray, seed: int, rounds: int,
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve with both classes of equal weight, by Newton's method."""
+    """Scale and shift of a logistic curve, by Newton's method; clean texts weigh `CLEAN_WEIGHT` in all."""
     middle, spread = x.mean(), x.std() or 1.0
     z = (x - middle) / spread
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, (1 - CLEAN_WEIGHT) / max(1, (y == 1).sum()), CLEAN_WEIGHT / max(1, (y == 0).sum()))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
