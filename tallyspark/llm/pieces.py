@@ -32,7 +32,6 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -205,17 +204,18 @@ def units_of(text: str) -> list[str]:
 
 
 class Encoder(dict):
-    """Unit → (score, loss of the second path, piece numbers); emptied when full."""
+    """Unit → (score, loss of the second path, piece numbers as bytes); emptied when full."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, unit: str) -> tuple[float, float, tuple[int, ...]]:
+    def __missing__(self, unit: str) -> tuple[float, float, bytes]:
         if unit == "":
-            entry = (self.vocabulary.unknown, np.inf, self.vocabulary.spelt(MARK))
+            top, lost, ids = self.vocabulary.unknown, np.inf, self.vocabulary.spelt(MARK)
         else:
-            entry = self.vocabulary.best(unit)
+            top, lost, ids = self.vocabulary.best(unit)
+        entry = (top, lost, array("i", ids).tobytes())
         if len(unit) <= LONGEST_CACHED:
             if len(self) >= CACHED_UNITS:
                 self.clear()
@@ -226,7 +226,8 @@ class Encoder(dict):
         """Piece numbers of the best segmentation, and the scores of the n best."""
         units = units_of(text)
         entries = list(map(self.__getitem__, units))
-        ids = array("i", chain.from_iterable([e[2] for e in entries]))
+        ids = array("i")
+        ids.frombytes(b"".join([e[2] for e in entries]))
         top = sum([e[0] for e in entries])
         if n == 1:
             return ids, [top]
@@ -251,8 +252,10 @@ class Encoder(dict):
         top = sum(e[0] for e in entries)
         found = []
         for lost, changed in self.changes(units, [e[1] for e in entries], n):
-            other = {p: self.vocabulary.n_best(units[p], n)[rank][1] for p, rank in changed}
-            found.append((top - lost, list(chain.from_iterable(other.get(i, e[2]) for i, e in enumerate(entries)))))
+            other = {p: array("i", self.vocabulary.n_best(units[p], n)[rank][1]).tobytes() for p, rank in changed}
+            ids = array("i")
+            ids.frombytes(b"".join([other.get(i, e[2]) for i, e in enumerate(entries)]))
+            found.append((top - lost, ids.tolist()))
         return found
 
 
