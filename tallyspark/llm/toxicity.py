@@ -265,7 +265,7 @@ def _sampled_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"words": texts, "toxic": batch["toxic"]})
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1200, learn_from: Column | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1000, learn_from: Column | None = None) -> Model:
     """Fit on a bounded sample of the labelled rows; `learn_from` is a condition on `doc_id`."""
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
@@ -279,7 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1200, learn_
     sample = docs.select("doc_id", text_or_empty("text").alias("text")).join(chosen, F.col("doc_id") == F.col("chosen_id"))
     rows = sample.select("text", "toxic").mapInPandas(_sampled_words, "words binary, toxic int").toPandas()
     rows = rows.assign(words=[bytes(w) for w in rows["words"]]).sort_values(["words", "toxic"])
-    return fit([w.split() for w in rows["words"]], rows["toxic"].to_numpy())
+    known: dict[bytes, bytes] = {}  # one object a word, however often it occurs
+    return fit([[known.setdefault(x, x) for x in w.split()] for w in rows["words"]], rows["toxic"].to_numpy())
 
 
 def scores(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
