@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import content_archive, cross_entropy, exact_dedup, jaccard_join, metric_join, pieces, source_mix, suffix_dedup, toxicity, url_rules
+from tallyspark.llm import content_archive, exact_dedup, jaccard_join, metric_join, pieces, source_mix, suffix_dedup, toxicity, url_rules, word_models
 from tallyspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,8 +141,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_cross_entropy")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    models = cross_entropy.fit(docs, table(spark, folder, "labels").filter("quality = 1"))
-    return cross_entropy.differences(docs, models)
+    return word_models.differences(docs, table(spark, folder, "labels").filter("quality = 1"))
 
 
 @query("op6_pieces")
