@@ -43,6 +43,7 @@ from tallyspark.llm.shared import rows_of, text_or_empty
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CACHED_UNITS = 400_000
+CACHED_PATHS = 50_000
 LONGEST_CACHED = 64
 UNKNOWN = -1
 NEVER = -1e300
@@ -209,6 +210,7 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def __missing__(self, unit: str) -> tuple[float, float, bytes]:
         if unit == "":
@@ -224,82 +226,101 @@ class Encoder(dict):
 
     def encode(self, text: str, n: int = 1) -> tuple[array, list[float]]:
         """Piece numbers of the best segmentation, and the scores of the n best."""
-        units = units_of(text)
-        entries = list(map(self.__getitem__, units))
-        ids = array("i")
-        ids.frombytes(b"".join([e[2] for e in entries]))
-        top = sum([e[0] for e in entries])
-        if n == 1:
-            return ids, [top]
-        return ids, [top - lost for lost, _ in self.changes(units, [e[1] for e in entries], n)]
+        found = self.ranked(text, n)
+        return found[0][1], [score for score, _ in found]
+
+    def paths(self, unit: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best paths of a unit, searched once while they are kept."""
+        found = self.searched.get((unit, n))
+        if found is None:
+            found = [(score, array("i", ids).tobytes()) for score, ids in self.vocabulary.n_best(unit, n)]
+            if len(unit) <= LONGEST_CACHED:
+                if len(self.searched) >= CACHED_PATHS:
+                    self.searched.clear()
+                self.searched[unit, n] = found
+        return found
 
     def changes(self, units: list[str], losses: list[float], n: int) -> list[tuple[float, tuple]]:
-        """The n least losses of a text, each with the (place, rank) of the units that do not take their best path."""
+        """The n least losses of a text, each with the (place, rank, pieces) of the units that do not take their best path."""
         first = heapq.nsmallest(n - 1, range(len(units)), key=losses.__getitem__)
         found: list[tuple[float, tuple]] = [(0.0, ())]
         for place in sorted(first):
             if losses[place] == np.inf:
                 continue
-            paths = self.vocabulary.n_best(units[place], n)
-            ranked = [(paths[0][0] - score, ((place, rank),) if rank else ()) for rank, (score, _) in enumerate(paths)]
+            paths = self.paths(units[place], n)
+            ranked = [
+                (paths[0][0] - score, ((place, rank, ids),) if rank else ()) for rank, (score, ids) in enumerate(paths)
+            ]
             found = heapq.nsmallest(n, [(a + b, p + q) for a, p in found for b, q in ranked])
         return found
 
-    def segmentations(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a text with their scores."""
+    def ranked(self, text: str, n: int) -> list[tuple[float, array]]:
+        """Scores and piece numbers of the n best segmentations of a text."""
         units = units_of(text)
-        entries = [self[u] for u in units]
-        top = sum(e[0] for e in entries)
+        entries = list(map(self.__getitem__, units))
+        top = sum([e[0] for e in entries])
+        parts = [e[2] for e in entries]
         found = []
-        for lost, changed in self.changes(units, [e[1] for e in entries], n):
-            other = {p: array("i", self.vocabulary.n_best(units[p], n)[rank][1]).tobytes() for p, rank in changed}
-            ids = array("i")
-            ids.frombytes(b"".join([other.get(i, e[2]) for i, e in enumerate(entries)]))
-            found.append((top - lost, ids.tolist()))
+        for lost, changed in self.changes(units, [e[1] for e in entries], n) if n > 1 else [(0.0, ())]:
+            own = parts.copy() if changed else parts
+            for place, _, ids in changed:
+                own[place] = ids
+            numbers = array("i")
+            numbers.frombytes(b"".join(own))
+            found.append((top - lost, numbers))
         return found
 
+    def segmentations(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+        """The n best segmentations of a text with their scores."""
+        return [(score, ids.tolist()) for score, ids in self.ranked(text, n)]
+
 
 def encoded(
     docs: DataFrame, model_path: str, columns: Sequence[str] = ("doc_id",), text_column: str = "text", n: int = 1
 ) -> DataFrame:
-    """The given columns with `pieces` (numbers of the best segmentation), `scores` of the n best, and `n_pieces`."""
+    """The given columns with `pieces` (numbers of the best segmentation), `scores` of the n best, `n_pieces`, and
+    `others`, the numbers of the second to n-th."""
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     kept = docs.select(*[F.col(c) for c in columns], text_or_empty(text_column).alias("_text"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(Vocabulary(*sent.value))
         for rows in rows_of(batches, 500):
-            found = [encoder.encode(t, n) for t in rows["_text"]]
+            found = [encoder.ranked(t, n) for t in rows["_text"]]
             yield rows.drop(columns="_text").assign(
-                pieces=[np.frombuffer(ids, dtype=np.int32) for ids, _ in found],
-                scores=[s for _, s in found],
-                n_pieces=[len(ids) for ids, _ in found],
+                pieces=[np.frombuffer(f[0][1], dtype=np.int32) for f in found],
+                scores=[[score for score, _ in f] for f in found],
+                n_pieces=[len(f[0][1]) for f in found],
+                others=[[np.frombuffer(ids, dtype=np.int32) for _, ids in f[1:]] for f in found],
             )
 
-    return kept.mapInPandas(encode, _schema(kept) + "pieces array<int>, scores array<double>, n_pieces int")
+    return kept.mapInPandas(encode, _schema(kept) + "pieces array<int>, scores array<double>, n_pieces int, others array<array<int>>")
 
 
 def encoding_report(
     docs: DataFrame, model_path: str, columns: Sequence[str] = ("doc_id",), text_column: str = "text", n: int = 3
 ) -> DataFrame:
     """As `encoded`, with the SHA-256 of the piece numbers (four bytes each, low byte first) in their place, and
-    whether they decode to the very text."""
+    whether they decode to the very text; `all_sha256` and `all_round_trip` say so for each of the n best."""
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     kept = docs.select(*[F.col(c) for c in columns], text_or_empty(text_column).alias("_text"))
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(Vocabulary(*sent.value))
         for rows in rows_of(batches, 500):
-            found = [(*encoder.encode(t, n), t) for t in rows["_text"]]
-            yield rows.drop(columns="_text").assign(
-                n_pieces=[len(ids) for ids, _, _ in found],
-                scores=[s for _, s, _ in found],
-                pieces_sha256=[hashlib.sha256(np.frombuffer(i, dtype="<i4").tobytes()).hexdigest() for i, _, _ in found],
-                round_trip=[encoder.vocabulary.decode(ids) == t for ids, _, t in found],
-            )
+            found = []
+            for text in rows["_text"]:
+                ranked = encoder.ranked(text, n)
+                digests = [hashlib.sha256(np.frombuffer(ids, dtype="<i4").tobytes()).hexdigest() for _, ids in ranked]
+                back = [encoder.vocabulary.decode(ids) == text for _, ids in ranked]
+                found.append((len(ranked[0][1]), [score for score, _ in ranked], digests[0], back[0], digests, back))
+            names = ("n_pieces", "scores", "pieces_sha256", "round_trip", "all_sha256", "all_round_trip")
+            yield rows.drop(columns="_text").assign(**{c: [f[i] for f in found] for i, c in enumerate(names)})
 
     return kept.mapInPandas(
-        report, _schema(kept) + "n_pieces long, scores array<double>, pieces_sha256 string, round_trip boolean"
+        report,
+        _schema(kept) + "n_pieces long, scores array<double>, pieces_sha256 string, round_trip boolean, "
+        "all_sha256 array<string>, all_round_trip array<boolean>",
     )
 
 

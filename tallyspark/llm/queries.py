@@ -154,7 +154,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.get("scores", F.lit(1)).alias("second_score"),
         F.get("scores", F.lit(2)).alias("third_score"),
         "pieces_sha256",
+        F.get("all_sha256", F.lit(1)).alias("second_sha256"),
+        F.get("all_sha256", F.lit(2)).alias("third_sha256"),
         "round_trip",
+        F.get("all_round_trip", F.lit(1)).alias("second_round_trip"),
+        F.get("all_round_trip", F.lit(2)).alias("third_round_trip"),
     )
 
 
