@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import content_archive, exact_dedup, jaccard_join, metric_join, pieces, source_mix, suffix_dedup, toxicity, url_rules, word_models
+from tallyspark.llm import content_archive, exact_dedup, jaccard_join, metric_join, pieces, source_mix, suffix_dedup, token_alignment, toxicity, url_rules, word_models
 from tallyspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.report(table(spark, folder, "documents"), length=200, keep_first=False)
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.report(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
