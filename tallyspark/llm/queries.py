@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import content_archive, exact_dedup, jaccard_join, metric_join, pieces, source_mix, suffix_dedup, token_alignment, toxicity, url_rules, word_models
+from tallyspark.llm import content_archive, cover_tree, exact_dedup, jaccard_join, metric_join, neighbour_graph, pieces, source_mix, suffix_dedup, token_alignment, toxicity, url_rules, word_models
 from tallyspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,30 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_token_alignment")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.report(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT a.vec_id AS anchor_id, a.v, a.label, b.vec_id AS positive_id, list_dot_product(a.v, b.v)::BIGINT AS s
+        FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) <= 5),
+    n AS (SELECT anchor_id, positive_id, s, c.vec_id AS negative_id, list_dot_product(p.v, c.v)::BIGINT AS t
+        FROM p JOIN v c ON p.label <> c.label)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY t DESC, negative_id)::INT AS rank,
+        negative_id, s AS positive_score, t AS negative_score
+    FROM n WHERE 80 * s <= 100 * t AND 100 * t <= 100 * s QUALIFY rank <= 5
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = cover_tree.taking_part(table(spark, folder, "embeddings"), 256, "vec_id", "embedding", label)
+    return cover_tree.mine(rows, F.col("id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_graph.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)

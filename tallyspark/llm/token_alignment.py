@@ -79,6 +79,7 @@ class Stretches:
         self.number: dict[str, int] = {}
         self.counts = np.zeros((0, 6), dtype=np.int64)  # A tokens, B tokens, groups, wrongly spelt, links, bytes of groups as text
         self.codes, self.text, self.used = np.zeros(0, "<i8"), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        self.place()
 
     def add(self, parts: list[str], counts: np.ndarray, codes: bytes, text: bytes) -> None:
         self.number.update(zip(parts, range(len(self.counts), len(self.counts) + len(parts))))
