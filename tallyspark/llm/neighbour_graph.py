@@ -44,10 +44,15 @@ HELD = 512
 LANDMARKS = 64
 RETURNED = 256  # scored nodes of a part and query
 PART_ROWS = 8192
+LEAST_PARTS, LEAST_ROWS = 16, 256  # so many parts, where they have as many rows
 NO_ID = (1 << 63) - 1
 LISTS = "node long, others array<long>, nearness array<float>, new array<boolean>"
 
 
+def part_count(n: int) -> int:
+    return max(-(-n // PART_ROWS), min(LEAST_PARTS, -(-n // LEAST_ROWS)))
+
+
 def part_of(node: str, parts: int) -> Column:
     return F.pmod(F.col(node), F.lit(parts)).cast("int")
 
@@ -109,7 +114,7 @@ def nodes_of(frame: DataFrame, id_column: str, vector: str) -> tuple[DataFrame,
 
 def build_graph(nodes: DataFrame, n: int, width: int, greatest: float, k: int = NEIGHBOURS, drawn: int = DRAWN) -> DataFrame:
     """A written table (node, others, nearness, new) of each node's nearest others, by NN-descent."""
-    parts = -(-n // PART_ROWS)
+    parts = part_count(n)
 
     def bucket(rows: pa.Table) -> pa.Table:
         node = rows["node"].to_numpy()
@@ -218,7 +223,7 @@ def build_graph(nodes: DataFrame, n: int, width: int, greatest: float, k: int =
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, n: int, width: int, k: int) -> DataFrame:
     """Greedy search from each of the nodes `queries`: (query, node, score) of the best it met, own node included, at least k with ties."""
-    parts = -(-n // PART_ROWS)
+    parts = part_count(n)
     backwards = graph.select(F.posexplode("others").alias("place", "node"), F.col("node").alias("other"))
     order = Window.partitionBy("node").orderBy("place", "other")
     back = backwards.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= NEIGHBOURS).groupBy("node").agg(F.collect_list("other").alias("back"))
@@ -291,7 +296,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, n: int, width
         return pa.table([state["node"], state["vector"], *columns], names=["node", "vector", "held", "scores", "opened", "asked"])
 
     def by_query(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("part", part_of("node", max(1, parts))).groupBy("part")
+        return frame.withColumn("part", part_of("node", parts)).groupBy("part")
 
     state = stored(state, "state")
     for turn in range(ROUNDS):

@@ -39,7 +39,7 @@ def recall(result, ids, points, k=20):
 @pytest.mark.parametrize("kind", ["even", "lengths", "copies"])
 def test_recall(spark, monkeypatch, kind):
     draw = np.random.default_rng(7)
-    monkeypatch.setattr(neighbour_graph, "PART_ROWS", 500)
+    monkeypatch.setattr(neighbour_graph, "LEAST_PARTS", 6)
     points = draw.normal(size=(3000, 32))
     if kind == "lengths":
         points *= draw.uniform(0.1, 3, size=(3000, 1))
