@@ -196,6 +196,20 @@ def _event_stream(t: Tables):
     return _stream(t, "events")
 
 
+def _late_events(t: Tables):
+    """Events in deliveries of ten days, some up to three days late: rows of a key arrive out of order."""
+    events = t.raw("events")
+    us = F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 4) * 86_400_000_000
+    far = F.max("ts") + F.expr("INTERVAL 60 DAYS")
+    minus = {"event_id": F.lit(-4).cast("long"), "ts": far, "user_id": F.lit(-1).cast("long"), "event_type": F.lit("heartbeat")}
+    heartbeat = events.agg(*[minus.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema])
+    return runs.delivered(events, F.floor(us / 864_000_000_000), heartbeat, "events")
+
+
+LATE = "14 days"  # a delivery and its delay, however many files it comes in
+DAY = 86_400.0
+
+
 def _live_bill(t: Tables):
     return t.bill.select("id", "project_id", "total", "rate", "material_name")
 
@@ -327,20 +341,17 @@ def _(t: Tables):
     return done.withColumns({c: stamp(c) for c in ("started", "finished")})
 
 
-# the stream has decided a drawing when its final status came in time, or when the
-# watermark has passed its deadline
 @query(
     "st06_readiness_stream",
-    f"""WITH seen AS (SELECT drawing_id, min(epoch_ms(ts)) AS started, min(CASE WHEN status IN ('processed','detected','error') THEN epoch_ms(ts) END) AS fin,
-      arg_min(status, (epoch_ms(ts), status)) FILTER (WHERE status IN ('processed','detected','error')) AS status FROM reports GROUP BY 1)
-    SELECT drawing_id, CASE WHEN fin <= started + 307171 THEN status ELSE 'timeout' END AS outcome FROM seen
-    WHERE fin <= started + 307171 OR started + 307171 <= (SELECT max(epoch_ms(ts)) FROM reports) - 10000""",
+    """SELECT drawing_id, CASE WHEN fin <= started + to_microseconds(307171875) THEN status ELSE 'timeout' END AS outcome FROM (
+      SELECT drawing_id, min(ts) AS started, min(CASE WHEN status IN ('processed','detected','error') THEN ts END) AS fin,
+      arg_min(status, (ts, status)) FILTER (WHERE status IN ('processed','detected','error')) AS status FROM reports GROUP BY 1)""",
     ("reports",),
 )
 def _(t: Tables):
     runs.use_rocksdb(t.spark)
-    stream = deadlines.readiness_stream(t.as_reports(_event_stream(t)), BUDGET)
-    return runs.appended(stream, "readiness")
+    stream = deadlines.readiness_stream(t.as_reports(_late_events(t)), BUDGET, delay=LATE, forget_seconds=40 * DAY)
+    return runs.appended(stream, "readiness").where("drawing_id >= 0")
 
 
 @query(
@@ -355,18 +366,16 @@ def _(t: Tables):
     return stuck.withColumns({c: stamp(c) for c in ("ts", "next_ts")})
 
 
-# what the watermark has not passed is still open when the stream ends
 @query(
     "st07_stuck_work_stream",
-    """SELECT key, event_id FROM (SELECT *, lead(epoch_ms(ts)) OVER (PARTITION BY key ORDER BY ts, event_id) AS next_ms FROM log)
-    WHERE route = 'signup' AND (next_ms > epoch_ms(ts) + 300000
-      OR next_ms IS NULL AND epoch_ms(ts) + 300000 <= (SELECT max(epoch_ms(ts)) FROM log) - 10000)""",
+    """SELECT key, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS next_ts FROM log)
+    WHERE route = 'signup' AND (next_ts IS NULL OR next_ts > ts + to_minutes(5))""",
     ("log",),
 )
 def _(t: Tables):
     runs.use_rocksdb(t.spark)
-    log = t.as_log(_event_stream(t)).select("key", "event_id", F.col("route").alias("status"), "ts")
-    return runs.appended(deadlines.stuck_work_stream(log, "signup"), "stuck")
+    log = t.as_log(_late_events(t)).select("key", "event_id", F.col("route").alias("status"), "ts")
+    return runs.appended(deadlines.stuck_work_stream(log, "signup", delay=LATE), "stuck")
 
 
 @query(
@@ -408,12 +417,13 @@ def _(t: Tables):
 
 @query(
     "st10_breaker_stream",
-    f"""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id)
-      - row_number() OVER (PARTITION BY key, failed ORDER BY ts, event_id) AS island FROM log)
-    SELECT key, {stamp_sql('(list(ts ORDER BY ts, event_id))[3]')} AS opened FROM numbered WHERE failed GROUP BY key, island HAVING count(*) >= 3""",
+    f"""WITH breaks AS (SELECT *, NOT failed OR ts > lag(ts) OVER (PARTITION BY key ORDER BY ts, event_id) + to_hours(60) AS anew FROM log),
+    islands AS (SELECT *, sum(CASE WHEN anew THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM breaks)
+    SELECT key, {stamp_sql('(list(ts ORDER BY ts, event_id))[3]')} AS opened FROM islands WHERE failed GROUP BY key, island HAVING count(*) >= 3""",
     ("log",),
 )
 def _(t: Tables):
     runs.use_rocksdb(t.spark)
-    log = t.as_log(_event_stream(t)).select("key", "event_id", "failed", "ts")
-    return runs.appended(deadlines.breaker_stream(log), "breaker").withColumn("opened", stamp("opened"))
+    log = t.as_log(_late_events(t)).select("key", "event_id", "failed", "ts")
+    stream = deadlines.breaker_stream(log, delay=LATE, forget_seconds=2.5 * DAY)
+    return runs.appended(stream, "breaker").withColumn("opened", stamp("opened"))

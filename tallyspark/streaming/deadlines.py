@@ -1,7 +1,8 @@
 """Work that must finish in time, and calls that fail in a row.
 
-The batch functions answer over stored logs. The stream versions keep a small
-state per key; their timers fire on event time.
+The batch functions answer over stored logs. The stream versions take the rows of a
+key in the order of their event times, across micro-batches, and give the same answers
+once the watermark has passed; a key that has nothing open keeps no state.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -79,127 +81,177 @@ def failure_runs(log: DataFrame, least: int = 3, cool_down_seconds: float = 30.0
     )
 
 
-class Deadline(StatefulProcessor):
-    """First final status of a key, or a timeout fired by an event-time timer."""
+class InOrder(StatefulProcessor):
+    """Hands on the rows of a key in the order of their times, each once the watermark has passed it.
 
-    def __init__(self, budget_seconds: float, terminal: Sequence[str]):
-        self.budget_ms = int(budget_seconds * 1000)
-        self.terminal = tuple(terminal)
+    Rows wait in a list state, whatever micro-batch brought them; the watermark lets no earlier row in
+    after it has passed. A timer at the earliest waiting time releases all rows up to the watermark,
+    sorted once and taken as arrays. `taken` returns what to emit, the state to keep (None: none) and
+    the next moment, in microseconds, at which that state changes by itself; without rows it is called
+    for such moments. A key whose rows are released and whose state has run out keeps nothing.
+    """
+
+    WAITING = "us LONG, event_id LONG, word STRING"
+    KEPT = "us LONG"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("work", "started_ms LONG, done BOOLEAN")
+        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.kept = handle.getValueState("kept", self.KEPT)
+
+    def words(self, table: pd.DataFrame) -> pd.Series:
+        raise NotImplementedError
+
+    def taken(self, key, kept: tuple | None, us: np.ndarray, ids: np.ndarray, words: np.ndarray, now: int) -> tuple[pd.DataFrame | None, tuple | None, int | None]:
+        raise NotImplementedError
+
+    def timer(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))  # the first millisecond not before
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
-        final: tuple[int, str] | None = None
-        for batch in rows:
-            stamps = batch["ts"].astype("datetime64[ms]").astype("int64")
-            low = int(stamps.min())
-            earliest = low if earliest is None else min(earliest, low)
-            ended = batch["status"].isin(self.terminal)
-            if ended.any():
-                first = stamps[ended].idxmin()
-                found = (int(stamps[first]), str(batch.loc[first, "status"]))
-                final = found if final is None else min(final, found)
-        if self.state.exists():
-            started, done = self.state.get()
-        else:
-            started, done = earliest, False
-            self.handle.registerTimer(started + self.budget_ms)
-        if not done and final and final[0] <= started + self.budget_ms:
-            done = True
-            yield pd.DataFrame({"drawing_id": [key[0]], "outcome": [final[1]]})
-        self.state.update((started, done))
+        for table in rows:
+            us = table["ts"].to_numpy("datetime64[us]").astype("int64")
+            ids = table["event_id"] if "event_id" in table else pd.Series(0, table.index)
+            self.waiting.appendList(list(zip(us.tolist(), ids.tolist(), self.words(table).tolist())))
+            earliest = int(us.min()) if earliest is None else min(earliest, int(us.min()))
+        if earliest is not None:
+            self.timer(earliest)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            _, done = self.state.get()
-            if not done:
-                self.state.update((self.state.get()[0], True))
-                yield pd.DataFrame({"drawing_id": [key[0]], "outcome": ["timeout"]})
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        us, ids, words = (np.array(c, dtype=kind) for c, kind in zip(zip(*rows) if rows else ((),) * 3, ("int64", "int64", object)))
+        ready = us <= now
+        rest = [row for row, done in zip(rows, ready.tolist()) if not done]
+        if rest and len(rest) < len(rows):
+            self.waiting.put(rest)
+        elif rows and not rest:
+            self.waiting.clear()
+        if rest:
+            self.timer(int(us[~ready].min()))
+        us, ids, words = us[ready], ids[ready], words[ready]
+        order = np.lexsort((words.astype(str), ids, us))
+        kept = tuple(self.kept.get()) if self.kept.exists() else None
+        found, after, moment = self.taken(key, kept, us[order], ids[order], words[order], now)
+        if after is None and kept is not None:
+            self.kept.clear()
+        elif after is not None and after != kept:
+            self.kept.update(after)
+        if moment is not None:
+            self.timer(moment)
+        return iter(() if found is None or found.empty else (found,))
 
     def close(self) -> None:
         pass
 
 
-class StuckWork(StatefulProcessor):
-    """Emits started entries that no entry of their key follows within the budget.
+class Deadline(InOrder):
+    """The first final status of a key within its budget, or a timeout, decided once the watermark has passed the budget.
 
-    A late follower shows it at once; otherwise an event-time timer does. Rows of
-    a key are taken in time order within each micro-batch.
+    Reports up to `forget_seconds` after the budget belong to the same work; later ones start anew.
     """
 
-    def __init__(self, started: str, budget_seconds: float):
-        self.started = started
-        self.budget_ms = int(budget_seconds * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "event_id LONG, ts_ms LONG")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        table = pd.concat(rows)
-        table["ms"] = table["ts"].astype("datetime64[ms]").astype("int64")
-        waiting = self.open.get() if self.open.exists() else None
-        stuck = []
-        for row in table.sort_values(["ts", "event_id"]).itertuples():
-            if waiting and row.ms > waiting[1] + self.budget_ms:
-                stuck.append(waiting[0])
-            waiting = (int(row.event_id), int(row.ms)) if row.status == self.started else None
-        if waiting:
-            self.open.update(waiting)
-            self.handle.registerTimer(waiting[1] + self.budget_ms)
-        else:
-            self.open.clear()
-        if stuck:
-            yield pd.DataFrame({"key": [key[0]] * len(stuck), "event_id": stuck})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            event_id, ms = self.open.get()
-            if ms + self.budget_ms <= expiredTimerInfo.getExpiryTimeInMs():
-                self.open.clear()
-                yield pd.DataFrame({"key": [key[0]], "event_id": [event_id]})
-
-    def close(self) -> None:
-        pass
+    KEPT = "started LONG, status STRING, decided BOOLEAN"
 
+    def __init__(self, budget_seconds: float, terminal: Sequence[str], forget_seconds: float):
+        self.budget, self.forget = round(budget_seconds * 1_000_000), round(forget_seconds * 1_000_000)
+        self.terminal = tuple(terminal)
 
-class Breaker(StatefulProcessor):
-    """Emits when a key has failed the given number of times in a row.
+    def words(self, table: pd.DataFrame) -> pd.Series:
+        return table["status"]
+
+    def taken(self, key, kept, us, ids, words, now):
+        outcomes = []
+        final = np.isin(words.astype(str), self.terminal)
+        while True:
+            if kept is None:
+                if not len(us):
+                    break
+                kept = (int(us[0]), None, False)
+            started, status, decided = kept
+            own = int(np.searchsorted(us, started + self.budget + self.forget, "right"))
+            first = np.flatnonzero(final[:own] & (us[:own] <= started + self.budget))
+            if status is None and len(first):
+                status = str(words[first[0]])
+            over = own < len(us) or started + self.budget + self.forget <= now
+            if not decided and (over or started + self.budget <= now):
+                outcomes.append(status or "timeout")
+                decided = True
+            us, words, final = us[own:], words[own:], final[own:]
+            kept = None if over else (started, status, decided)
+            if not over:
+                break
+        found = pd.DataFrame({"drawing_id": [key[0]] * len(outcomes), "outcome": outcomes})
+        moment = kept and kept[0] + self.budget + (self.forget if kept[2] else 0)
+        return found, kept, moment
+
+
+class StuckWork(InOrder):
+    """Started entries that no entry of their key follows within the budget."""
+
+    KEPT = "us LONG, event_id LONG"
 
-    Rows of a key are taken in time order within each micro-batch.
-    """
+    def __init__(self, started: str, budget_seconds: float):
+        self.started, self.budget = started, round(budget_seconds * 1_000_000)
 
-    def __init__(self, least: int):
-        self.least = least
+    def words(self, table: pd.DataFrame) -> pd.Series:
+        return table["status"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "failures LONG")
+    def taken(self, key, kept, us, ids, words, now):
+        started = words.astype(str) == self.started
+        if kept is not None:
+            us, ids, started = np.append(kept[0], us), np.append(kept[1], ids), np.append(True, started)
+        stuck = ids[:-1][started[:-1] & (np.diff(us) > self.budget)].tolist()
+        open_entry = (int(us[-1]), int(ids[-1])) if len(us) and started[-1] else None
+        if open_entry and open_entry[0] + self.budget <= now:
+            stuck.append(open_entry[1])
+            open_entry = None
+        found = pd.DataFrame({"key": [key[0]] * len(stuck), "event_id": stuck})
+        return found, open_entry, open_entry and open_entry[0] + self.budget
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run = self.state.get()[0] if self.state.exists() else 0
-        opened = []
-        for row in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
-            run = run + 1 if row.failed else 0
-            if run == self.least:
-                opened.append(row.ts)
-        self.state.update((run,))
-        if opened:
-            yield pd.DataFrame({"key": [key[0]] * len(opened), "opened": opened})
 
-    def close(self) -> None:
-        pass
+class Breaker(InOrder):
+    """When a key has failed the given number of times in a row.
 
+    A success ends a run, and so does a pause of over `forget_seconds`, after which nothing of the key is kept.
+    """
 
-def readiness_stream(reports: DataFrame, budget_seconds: float, terminal: Sequence[str] = TERMINAL_STATUSES, delay: str = "10 seconds") -> DataFrame:
+    KEPT = "us LONG, failures LONG"
+
+    def __init__(self, least: int, forget_seconds: float):
+        self.least, self.forget = least, round(forget_seconds * 1_000_000)
+
+    def words(self, table: pd.DataFrame) -> pd.Series:
+        return table["failed"].map({True: "failed", False: ""}).fillna("")
+
+    def taken(self, key, kept, us, ids, words, now):
+        last, before = kept or (None, 0)
+        opened = us[:0]
+        if len(us):
+            failed = words.astype(str) == "failed"
+            paused = np.diff(us, prepend=us[0] if last is None else last) > self.forget
+            count = np.cumsum(failed)
+            # failures up to the last success, or before the first row after a pause
+            done = np.maximum.accumulate(np.where(~failed, count, np.where(paused, count - failed, -before)))
+            runs = count - np.maximum(done, -before)
+            opened = us[failed & (runs == self.least)]
+            last, before = int(us[-1]), int(runs[-1])
+        keep = (last, before) if before and last + self.forget > now else None
+        found = pd.DataFrame({"key": [key[0]] * len(opened), "opened": opened.astype("datetime64[us]")})
+        return found, keep, keep and last + self.forget
+
+
+def readiness_stream(
+    reports: DataFrame, budget_seconds: float, terminal: Sequence[str] = TERMINAL_STATUSES, delay: str = "10 seconds", forget_seconds: float = 86_400.0
+) -> DataFrame:
     """Needs the RocksDB state store; `reports` is a stream of (drawing_id, status, ts)."""
     return (
         reports.withWatermark("ts", delay)
         .groupBy("drawing_id")
         .transformWithStateInPandas(
-            Deadline(budget_seconds, terminal),
+            Deadline(budget_seconds, terminal, forget_seconds),
             "drawing_id long, outcome string",
             "Append",
             "EventTime",
@@ -218,8 +270,10 @@ def stuck_work_stream(log: DataFrame, started: str, seconds: float = 300.0, dela
     )
 
 
-def breaker_stream(log: DataFrame, least: int = 3) -> DataFrame:
+def breaker_stream(log: DataFrame, least: int = 3, delay: str = "10 seconds", forget_seconds: float = 86_400.0) -> DataFrame:
     """Needs the RocksDB state store; `log` is a stream of (key, event_id, failed, ts)."""
-    return log.groupBy("key").transformWithStateInPandas(
-        Breaker(least), "key long, opened timestamp", "Append", "None"
+    return (
+        log.withWatermark("ts", delay)
+        .groupBy("key")
+        .transformWithStateInPandas(Breaker(least, forget_seconds), "key long, opened timestamp", "Append", "EventTime")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +34,20 @@ def read_stream(
     return reader.parquet(path)
 
 
+def delivered(rows: DataFrame, number: Column, heartbeat: DataFrame, name: str) -> DataFrame:
+    """A stream of stored rows that arrive in deliveries, in the order of their numbers, a file at a time.
+
+    The heartbeat, a row far in the future, comes last and lets the watermark pass all others.
+    """
+    spark = rows.sparkSession
+    path = new_path(spark, f"delivered-{name}")
+    numbered = rows.withColumn("_delivery", number)
+    for (which,) in numbered.select("_delivery").distinct().orderBy("_delivery").collect():
+        numbered.where(F.col("_delivery") == which).drop("_delivery").write.mode("append").parquet(path)
+    heartbeat.coalesce(1).write.mode("append").parquet(path)
+    return read_stream(spark, path, rows.schema, files_per_batch=1)
+
+
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -116,9 +116,64 @@ def test_breaker(spark, tmp_path):
     assert [(r["key"], r["failures"], r["opened"].second + 60 * r["opened"].minute) for r in found] == [(7, 4, 50), (7, 3, 120)]
     assert (found[0]["closes"] - found[0]["opened"]).total_seconds() == 30
     runs.use_rocksdb(spark)
-    stream = files(spark, tmp_path, [rows[:5], rows[5:11], rows[11:]], LOG)
-    opened = runs.appended(deadlines.breaker_stream(stream), "t-breaker")
-    assert sorted(tuple(r) for r in opened.collect()) == sorted((r["key"], r["opened"]) for r in found)
+    end = [(-1, 0, False, 1_000_000)]
+    stream = files(spark, tmp_path, [rows[:5], rows[5:11], rows[11:], end], LOG)
+    opened, left = run_to_end(deadlines.breaker_stream(stream), tmp_path, "breaker")
+    assert sorted(opened) == sorted((r["key"], r["opened"]) for r in found)
+    assert left <= 1  # of the closing row
+
+
+def run_to_end(stream, tmp_path, name):
+    """All rows a stream appends, and the rows of state it keeps in the end."""
+    out = str(tmp_path / f"out-{name}")
+    query = runs.start(stream, runs.batch_writer(out), str(tmp_path / f"progress-{name}"), "append", availableNow=True)
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return [tuple(r) for r in rows.select(*stream.columns).collect()], query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_late_rows_are_put_in_order(spark, tmp_path):
+    """A success that comes a batch later, but lies between three failures, keeps the breaker shut; pauses end runs."""
+    runs.use_rocksdb(spark)
+    batches = [
+        [(1, 1, True, 10), (1, 2, True, 20), (1, 4, True, 40), (2, 5, True, 10), (3, 8, True, 10), (3, 9, True, 20)],
+        [(1, 3, False, 30), (2, 6, True, 20), (2, 7, True, 15), (1, 10, True, 50)],
+        [(3, 11, True, 5000), (1, 12, True, 60), (1, 13, True, 60)],
+        [(-1, 0, False, 100_000)],
+    ]
+    for least, pause in ((3, 1000.0), (2, 25.0)):
+        stream = files(spark, tmp_path / str(least), batches, LOG) if (tmp_path / str(least)).mkdir() is None else None
+        found, left = run_to_end(deadlines.breaker_stream(stream, least, "100 seconds", pause), tmp_path / str(least), "late")
+        assert sorted((k, int(ts.timestamp()) % 100_000 - 6400 % 100_000) for k, ts in found) == sorted(
+            (k, (1_700_006_400 + s) % 100_000 - 6400) for k, s in ([(1, 60), (2, 20)] if least == 3 else [(1, 20), (1, 50), (2, 15), (3, 20)])
+        )
+        assert left <= 1
+
+
+def test_readiness_and_stuck_work_out_of_order(spark, tmp_path):
+    runs.use_rocksdb(spark)
+    reports = [
+        [(1, "processed", 50), (2, "error", 500), (3, "detected", 20)],
+        [(1, "uploaded", 0), (2, "uploaded", 0), (3, "error", 10), (4, "uploaded", 30)],
+        [(1, "error", 5000), (-1, "x", 100_000)],
+        [(-1, "y", 300_000)],
+    ]
+    stream = files(spark, tmp_path, reports, "drawing_id long, status string, ts timestamp")
+    for forget, again in ((0.0, [(2, "error"), (1, "error")]), (50_000.0, [])):
+        (tmp_path / str(forget)).mkdir()
+        found, left = run_to_end(deadlines.readiness_stream(stream, 60.0, delay="1000 seconds", forget_seconds=forget), tmp_path / str(forget), "ready")
+        want = [(1, "processed"), (2, "timeout"), (3, "error"), (4, "timeout"), *again]
+        assert sorted(r for r in found if r[0] >= 0) == sorted(want)
+        assert left <= 1
+    (tmp_path / "stuck").mkdir()
+    log = [
+        [(1, 1, "STARTED", 0), (2, 2, "STARTED", 0), (1, 3, "STARTED", 900)],
+        [(2, 4, "DONE", 200), (1, 5, "DONE", 1300), (3, 6, "STARTED", 1000), (3, 7, "DONE", 1300)],
+        [(-1, 0, "x", 100_000)],
+    ]
+    stream = files(spark, tmp_path / "stuck", log, "key long, event_id long, status string, ts timestamp")
+    found, left = run_to_end(deadlines.stuck_work_stream(stream, "STARTED", delay="2000 seconds"), tmp_path / "stuck", "stuck")
+    assert sorted(found) == [(1, 1), (1, 3)] and left <= 1
 
 
 def test_readiness(spark, tmp_path):
