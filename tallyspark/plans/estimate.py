@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import boq, costing, diagnostics, maintenance
 from tallyspark.operators.expand import expand_with
 from tallyspark.rules import RuleSet
 from tallyspark.session import new_path
+from tallyspark.sources import snapshots
 
 BUCKETS = 64
 
@@ -70,3 +72,30 @@ def overview(parts: Mapping[str, DataFrame]) -> DataFrame:
         F.coalesce("outliers", F.lit(0)).cast("long").alias("outliers"),
         "total_saving",
     )
+
+
+def create_store(spark: SparkSession, root: str, lines: DataFrame, projects: DataFrame, rows_per_bucket: int = snapshots.ROWS_PER_BUCKET) -> int:
+    """A store with the bill lines and the projects, each in buckets by project."""
+    commit = snapshots.begin(spark, root)
+    commit.create("lines", lines, "project_id", rows_per_bucket=rows_per_bucket)
+    commit.create("projects", projects, "id", rows_per_bucket=rows_per_bucket)
+    return commit.finish()
+
+
+def replace_lines(spark: SparkSession, root: str, new: DataFrame, scope: DataFrame, at: datetime) -> int:
+    """Exchange the lines of the projects in scope, touch these projects and append their cost versions, in one commit.
+
+    Projects whose new bill is empty lose their lines and get no version.
+    """
+    commit = snapshots.begin(spark, root)
+    commit.replace("lines", new, scope)
+    touched = scope.select(F.col("project_id").alias("id")).distinct().withColumn("_at", F.lit(at))
+    projects = snapshots.read(spark, root, "projects").join(touched, "id")
+    moved = projects.withColumn("updated_at", F.greatest("updated_at", F.col("_at").cast(projects.schema["updated_at"].dataType))).drop("_at")
+    commit.replace("projects", moved, touched)
+    versions = costing.cost_snapshot(boq.trade_summary(new), at)
+    if "versions" in commit.tables:
+        commit.append("versions", versions)
+    else:
+        commit.create("versions", versions, "project_id", buckets=commit.tables["lines"].buckets)
+    return commit.finish()

@@ -21,9 +21,10 @@ from tallyspark.plans.bindings import (
     sum_money_sql,
     sum_quantity_sql,
 )
+from tallyspark.plans.estimate import create_store, replace_lines
 from tallyspark.plans.registry import indian_sql, query, stamp, stamp_sql
 from tallyspark.session import new_path
-from tallyspark.sources import cad, detections, files, fixtures
+from tallyspark.sources import cad, detections, files, fixtures, snapshots
 
 CLOCK = datetime(2024, 6, 1, 12, 0, 0, 250000, tzinfo=UTC)
 CLOCK_MS = 1717243200250
@@ -196,6 +197,7 @@ def _(t: Tables):
     )
 
 
+ROWS_PER_BUCKET = 1_000  # small, so that test tables have several
 _SCOPE_SQL = "SELECT id FROM projects WHERE client = 'MACHINERY'"
 
 
@@ -214,10 +216,14 @@ def _(t: Tables):
     new = maintenance.in_scope(old, scope, ["project_id"]).where(
         (F.col("trade") == "Civil") & (F.col("total") > 0)
     ).withColumn("total", N.money(F.col("total") * 1.5))
-    path = new_path(t.spark, "bill")
-    maintenance.write_bucketed(old, path, 16)
-    maintenance.replace_bucketed(path, new, scope, ["project_id"], 16)
-    result = maintenance.read_bucketed(t.spark, path, old.schema)
+    root = new_path(t.spark, "bill")
+    commit = snapshots.begin(t.spark, root)
+    commit.create("lines", old, "project_id", rows_per_bucket=ROWS_PER_BUCKET)
+    commit.finish()
+    commit = snapshots.begin(t.spark, root)
+    commit.replace("lines", new, scope)
+    commit.finish()
+    result = snapshots.read(t.spark, root, "lines")
     return result.groupBy("project_id", "trade").agg(
         F.count("*").alias("lines"), N.sum_money(F.col("total")).alias("total")
     )
@@ -250,6 +256,47 @@ _VALID_SQL = f"""WITH {_EDITS_SQL}, valid AS (SELECT id, field, arg_max(value, (
       FROM valid GROUP BY 1)"""
 
 
+@query(
+    "chain_write_path",
+    f"""WITH scope AS ({_SCOPE_SQL}), new AS (SELECT project_id, {money_sql('total * 1.5')} AS total FROM bill
+      WHERE project_id IN (FROM scope) AND trade = 'Civil' AND total > 0),
+    lines AS (SELECT project_id, total FROM bill WHERE project_id NOT IN (FROM scope) UNION ALL FROM new)
+    SELECT p.id AS project_id, CAST(coalesce(l.n, 0) AS BIGINT) AS lines, coalesce(l.total, 0.0) AS total, v.total AS version_total,
+      CASE WHEN p.id IN (FROM scope) THEN {stamp_sql(f"greatest(p.updated_at, make_timestamp({CLOCK_MS} * 1000))")} ELSE {stamp_sql('p.updated_at')} END AS updated_at
+    FROM projects p LEFT JOIN (SELECT project_id, count(*) AS n, {sum_money_sql('total')} AS total FROM lines GROUP BY 1) l ON l.project_id = p.id
+    LEFT JOIN (SELECT project_id, {sum_money_sql('total')} AS total FROM new GROUP BY 1) v ON v.project_id = p.id""",
+    ("bill", "projects"),
+)
+def _(t: Tables):
+    """Replace the lines of the projects in scope, touch the projects, append their cost versions: one commit."""
+    scope = t.projects.where(F.col("client") == "MACHINERY").select(F.col("id").alias("project_id"))
+    old = t.bill.select("id", "project_id", "trade", "total")
+    root = new_path(t.spark, "store")
+    create_store(t.spark, root, old, t.projects, ROWS_PER_BUCKET)
+    bill = snapshots.read(t.spark, root, "lines")
+    new = maintenance.in_scope(bill, scope, ["project_id"]).where((F.col("trade") == "Civil") & (F.col("total") > 0))
+    replace_lines(t.spark, root, new.withColumn("total", N.money(F.col("total") * 1.5)), scope, CLOCK)
+    lines = snapshots.read(t.spark, root, "lines").groupBy("project_id").agg(F.count("*").alias("lines"), N.sum_money(F.col("total")).alias("total"))
+    versions = snapshots.read(t.spark, root, "versions").select("project_id", F.col("materials_total").alias("version_total"))
+    projects = snapshots.read(t.spark, root, "projects").select(F.col("id").alias("project_id"), stamp("updated_at").alias("updated_at"))
+    joined = projects.join(lines, "project_id", "left").join(versions, "project_id", "left")
+    return joined.select("project_id", F.coalesce("lines", F.lit(0)).cast("long").alias("lines"), F.coalesce("total", F.lit(0.0)).alias("total"), "version_total", "updated_at")
+
+
+@query(
+    "s03_project_read",
+    "SELECT id, project_id, trade, total FROM bill WHERE project_id IN (7, 11, 1000000000)",
+    ("bill",),
+)
+def _(t: Tables):
+    """The bills of a few projects, from their buckets alone."""
+    root = new_path(t.spark, "store")
+    commit = snapshots.begin(t.spark, root)
+    commit.create("lines", t.bill.select("id", "project_id", "trade", "total"), "project_id", rows_per_bucket=ROWS_PER_BUCKET)
+    commit.finish()
+    return snapshots.read(t.spark, root, "lines", keys=[7, 11, 1_000_000_000])
+
+
 @query(
     "p13_valid_edits",
     _VALID_SQL + " SELECT id, field, CAST(value AS DOUBLE) AS value FROM valid",
