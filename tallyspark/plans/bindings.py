@@ -6,6 +6,8 @@ checks. Every view grows with the given tables.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,9 @@ def _pick(index, values):
     return column
 
 
+LINE_SPAN_SQL = "(SELECT max(o_orderkey) // 3 + 1 FROM orders)"
+
+
 class Tables:
     """Lazily read domain tables of one data folder."""
 
@@ -235,12 +240,16 @@ class Tables:
     def events(self) -> DataFrame:
         return self.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    @staticmethod
-    def as_changes(events: DataFrame) -> DataFrame:
+    @cached_property
+    def line_span(self) -> int:
+        """A third of the greatest line id, so that the lines that events touch grow with the bill."""
+        return (self.raw("orders").agg(F.max("o_orderkey")).first()[0] or 0) // 3 + 1
+
+    def as_changes(self, events: DataFrame) -> DataFrame:
         kind = F.col("event_type")
         k = F.regexp_extract("props", r"(\d+)", 1)
         return events.select(
-            ((F.col("event_id") * 7) % 5000).alias("boq_item_id"),
+            (F.col("event_id") % self.line_span * 3).alias("boq_item_id"),
             F.when(kind.isin("purchase", "view"), F.col("value") * 100.0).alias("total"),
             F.when(kind.isin("purchase", "click"), F.col("value")).alias("rate"),
             F.when(kind == "signup", F.concat(F.lit("Material "), k)).alias("material_name"),
@@ -501,7 +510,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "changes": (
         (),
-        """SELECT (event_id * 7) % 5000 AS boq_item_id,
+        f"""SELECT event_id % {LINE_SPAN_SQL} * 3 AS boq_item_id,
         CASE WHEN event_type IN ('purchase','view') THEN value * 100.0 END AS total,
         CASE WHEN event_type IN ('purchase','click') THEN value END AS rate,
         CASE WHEN event_type = 'signup' THEN 'Material ' || regexp_extract(props, '(\\d+)', 1) END AS material_name,

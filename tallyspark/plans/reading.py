@@ -14,6 +14,7 @@ from tallyspark.operators.expand import expand_lines, line_quantity
 from tallyspark.operators.evaluate import check_report, real_items
 from tallyspark.plans.bindings import (
     BOUND_RULES,
+    LINE_SPAN_SQL,
     Tables,
     half_up_sql,
     money_sql,
@@ -229,7 +230,7 @@ def _(t: Tables):
     )
 
 
-_EDITS_SQL = """edits AS (SELECT (event_id * 3) % 4000 AS id, CASE WHEN event_type IN ('view','click') THEN 'quantity'
+_EDITS_SQL = f"""edits AS (SELECT event_id % {LINE_SPAN_SQL} * 3 + 1 AS id, CASE WHEN event_type IN ('view','click') THEN 'quantity'
     WHEN event_type = 'error' THEN 'note' ELSE 'rate' END AS field,
     CASE event_id % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN CAST(user_id AS VARCHAR) || '.5 sft' WHEN 2 THEN '-' || user_id
       ELSE ' ' || CAST(user_id * 3 AS VARCHAR) END AS raw,
@@ -246,7 +247,7 @@ def _edits(t: Tables):
     )
     field = F.when(kind.isin("view", "click"), "quantity").when(kind == "error", "note").otherwise("rate")
     return t.events.select(
-        ((n * 3) % 4000).alias("id"), field.alias("field"), raw.alias("raw"), "ts", n.alias("edit_id")
+        (n % t.line_span * 3 + 1).alias("id"), field.alias("field"), raw.alias("raw"), "ts", n.alias("edit_id")
     )
 
 
