@@ -242,9 +242,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     lines = _live_bill(t)
-    handle, path = live.total_batches(lines, "live")
+    handle, root = live.total_batches(lines, "live", rows_per_bucket=10_000)
     runs.drain(live.last_values(t.as_changes(_event_stream(t))), "totals", "update", handle)
-    return live.current_totals(lines, path)
+    return live.current_totals(lines, root)
 
 
 @query(

@@ -104,6 +104,15 @@ def read(spark: SparkSession, root: str, name: str, keys: Sequence | None = None
     return _read(spark, root, name, table, wanted).where(match | F.col(table.key).isNull() if None in keys else match)
 
 
+def read_scope(spark: SparkSession, root: str, name: str, scope: DataFrame, version: int | None = None) -> DataFrame:
+    """The rows of a table whose key is in `scope`, from the buckets of these keys alone."""
+    table = manifest(spark, root, version)[1][name]
+    named = scope.select(F.col(table.key).alias("_wanted")).distinct()
+    touched = {r[0] for r in named.select(bucket_of("_wanted", table.buckets)).distinct().collect()}
+    rows = _read(spark, root, name, table, touched)
+    return rows.join(named, rows[table.key].eqNullSafe(named["_wanted"]), "left_semi")
+
+
 @dataclass
 class Commit:
     """Changes to the tables of a store that become visible together, by `finish`."""

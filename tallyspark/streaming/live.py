@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tallyspark.functions.numbers import cents, from_cents
 from tallyspark.session import new_path
-from tallyspark.streaming.runs import latest
+from tallyspark.sources import snapshots
 
 FIELDS = ("total", "rate", "material_name")
 
@@ -42,33 +42,52 @@ def live_totals(lines: DataFrame) -> DataFrame:
     )
 
 
-def total_batches(lines: DataFrame, name: str) -> tuple[Callable[[DataFrame, int], None], str]:
-    """A batch handler for the stream of last values that re-adds touched projects only.
+def total_batches(
+    lines: DataFrame, name: str, root: str | None = None, rows_per_bucket: int = snapshots.ROWS_PER_BUCKET, keep: int = 8
+) -> tuple[Callable[[DataFrame, int], None], str]:
+    """A batch handler for the stream of last values that keeps current lines and project totals in a store.
 
-    Each batch stores its values and the new totals of the projects it touches.
+    Lines are bucketed by id and totals by project. A batch merges its values into the lines of the buckets it touches,
+    adds what that changes to the totals, and commits both at once; a bucket is one compact piece after every
+    batch, so reads do not grow with the batches. Values of a batch that is replayed are there already
+    and change nothing. The totals a batch changed are left in `totals/batch_id=<n>` for followers. Versions older than the last `keep` are removed. A stream that goes on is given its `root`.
     """
     spark = lines.sparkSession
-    path = new_path(spark, f"totals-{name}")
+    root = root or new_path(spark, f"totals-{name}")
+    if not snapshots.versions(spark, root):
+        commit = snapshots.begin(spark, root)
+        commit.create("lines", lines, "id", rows_per_bucket=rows_per_bucket)
+        commit.create("totals", live_totals(lines), "project_id", rows_per_bucket=rows_per_bucket)
+        commit.finish()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/values/batch_id={batch_id}")
-        sent = latest(spark, f"{path}/values", batch.schema, ["boq_item_id"])
-        changed = spark.read.schema(batch.schema).parquet(f"{path}/values/batch_id={batch_id}")
-        touched = lines.join(changed, lines["id"] == changed["boq_item_id"], "left_semi").select("project_id").distinct()
-        scope = lines.join(touched, "project_id", "left_semi")
-        live_totals(live_lines(scope, sent)).write.mode("overwrite").parquet(f"{path}/totals/batch_id={batch_id}")
-
-    return handle, path
-
-
-def current_totals(lines: DataFrame, path: str) -> DataFrame:
-    """Totals of all projects: the last live one, or that of the stored lines."""
-    stored = live_totals(lines)
-    live = latest(lines.sparkSession, f"{path}/totals", stored.schema, ["project_id"])
-    sent = live.select("project_id", F.col("total").alias("_total"))
-    return stored.join(sent, "project_id", "left").select(
-        "project_id", F.coalesce("_total", "total").alias("total"), "lines"
-    )
+        values = f"{root}/values/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(values)
+        batch = spark.read.schema(batch.schema).parquet(values)
+        commit = snapshots.begin(spark, root)
+        touched = batch.select(F.col("boq_item_id").alias("id"))
+        old = snapshots.read_scope(spark, root, "lines", touched)
+        new = live_lines(old, batch)
+        change = cents(F.coalesce("total", F.lit(0.0)))
+        both = old.select("project_id", (-change).alias("change")).unionByName(new.select("project_id", change.alias("change")))
+        moved = both.groupBy("project_id").agg(F.sum("change").alias("change")).persist()
+        commit.replace("lines", new, touched)
+        stored = snapshots.read_scope(spark, root, "totals", moved).alias("stored")
+        joined = stored.join(moved.alias("moved"), F.col("stored.project_id").eqNullSafe(F.col("moved.project_id")))
+        totals = joined.select("stored.project_id", from_cents(cents(F.col("total")) + F.col("change")).alias("total"), "lines")
+        totals.write.mode("overwrite").parquet(f"{root}/totals/batch_id={batch_id}")
+        commit.replace("totals", spark.read.schema(totals.schema).parquet(f"{root}/totals/batch_id={batch_id}"), moved)
+        commit.finish()
+        moved.unpersist()
+        if len(snapshots.versions(spark, root)) > 2 * keep:
+            snapshots.vacuum(spark, root, keep)
+
+    return handle, root
+
+
+def current_totals(lines: DataFrame, root: str) -> DataFrame:
+    """Totals of all projects as of the last batch."""
+    return snapshots.read(lines.sparkSession, root, "totals")
 
 
 def events_on_lines(events: DataFrame, lines: DataFrame) -> DataFrame:

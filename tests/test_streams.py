@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.expand import expand_with
 from tallyspark.plans.bindings import BOUND_RULES
+from tallyspark.sources import snapshots
 from tallyspark.streaming import deadlines, live, monitors, runs
 
 CHANGES = "boq_item_id long, total double, rate double, material_name string, ts timestamp, event_id long"
@@ -71,6 +72,26 @@ def test_live_totals_over_batches(spark, tmp_path):
     assert {r["batch_id"]: r["count"] for r in written} == {0: 1, 1: 1, 2: 2}
 
 
+def test_batches_read_only_what_they_touch(spark, tmp_path, monkeypatch):
+    """Over many batches the pieces read stay as many as the buckets touched, and the totals stay right."""
+    lines = spark.range(200).select("id", (F.col("id") % 10).alias("project_id"), F.lit(1.0).alias("total"), F.lit(1.0).alias("rate"), F.lit("x").alias("material_name"))
+    handle, root = live.total_batches(lines, "many", rows_per_bucket=25, keep=2)
+    pieces = []
+    real = snapshots._read
+    monkeypatch.setattr(snapshots, "_read", lambda s, r, n, t, w=None: (pieces.append(sum(len(t.folders.get(b, ())) for b in w or ())), real(s, r, n, t, w))[1])
+    for i in range(12):
+        batch = spark.createDataFrame([(7, float(i), None, None), (8, None, 2.0, None), (999, 5.0, None, None)], "boq_item_id long, total double, rate double, material_name string")
+        handle(batch, i)
+        if i == 5:
+            handle(batch, i)  # replayed
+    assert len(pieces) == 13 * 4 and max(pieces) <= 3
+    assert {r["project_id"]: r["total"] for r in live.current_totals(lines, root).collect()} == {p: 30.0 if p == 7 else 20.0 for p in range(10)}
+    assert len(snapshots.versions(spark, root)) <= 5
+    again, same = live.total_batches(lines, "many", root)
+    again(spark.createDataFrame([(7, 1.0, None, None)], batch.schema), 12)
+    assert same == root and live.current_totals(lines, root).where("project_id = 7").first()["total"] == 20.0
+
+
 def test_reexpansion_replaces_drawings(spark, tmp_path):
     batches = [
         [(1, 1, 10, "LARGE", "a", 1.0), (2, 1, 11, "PROMO", "b", 1.0), (3, 2, 20, "MEDIUM", "c", 1.0)],
