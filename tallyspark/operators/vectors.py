@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 4_096
+MAX_QUERIES = 4_096  # of a block
+SCORES = 4_000_000  # held at a time by a task
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,50 +44,40 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 def nearest_exact(queries: DataFrame, catalogue: DataFrame, k: int, max_queries: int = MAX_QUERIES) -> DataFrame:
     """The k most similar catalogue vectors of every query, by exact cosine.
 
-    A checked, small number of queries travels to the tasks; each task reduces its
-    part of the catalogue to k rows per query, one matrix product per Arrow batch,
-    so the shuffle carries k rows per query and task. More queries are taken in
-    slices by hash, one pass over the catalogue for each.
+    A join of blocks: the queries are dealt to blocks of about `max_queries` and the catalogue to
+    groups, both by hash, so that copies crowd nowhere. Each pair of a block and a group is one task's matrix products and
+    leaves k rows a query; the best of these are ranked. Every query is sent to every group and the
+    catalogue once a block; no vector passes the driver.
     """
-    asked = queries.select("query_id", unit(F.col("query")).alias("query"))
-    rows = asked.limit(max_queries + 1).collect()
-    if len(rows) <= max_queries:
-        return _ranked(_nearest_slice(rows, catalogue, k), k)
-    slices = 2 * -(-queries.count() // max_queries)
-    scored = None
-    for i in range(slices):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        found = _nearest_slice(part.collect(), catalogue, k)
-        scored = found if scored is None else scored.unionByName(found)
-    return _ranked(scored, k)
-
-
-def _nearest_slice(rows: list, catalogue: DataFrame, k: int) -> DataFrame:
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    matrix = np.array([r[1] for r in rows], dtype=np.float64)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = np.empty((len(ids), 0))
-        keys = np.empty((len(ids), 0), dtype=np.int64)
-        for batch in batches:
-            if len(ids) == 0 or len(batch) == 0:
-                continue
-            vectors = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            lengths = np.linalg.norm(vectors, axis=1)[:, None]
-            vectors = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
-            found = np.floor(matrix @ vectors.T * 1e6 + 0.5) / 1e6
-            scores = np.hstack([scores, found])
-            keys = np.hstack([keys, np.broadcast_to(batch["vec_id"].to_numpy(), found.shape)])
-            order = np.lexsort((keys, -scores), axis=1)[:, :k]
-            scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
-        if scores.size:
-            yield pd.DataFrame(
-                {"query_id": np.repeat(ids, scores.shape[1]), "vec_id": keys.ravel(), "similarity": scores.ravel()}
-            )
-
-    return catalogue.select("vec_id", "embedding").mapInPandas(
-        best, "query_id long, vec_id long, similarity double"
-    )
+    blocks = max(1, -(-queries.count() // max_queries))
+    groups = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hashed = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    asked = queries.select("query_id", unit(F.col("query")).alias("query"), hashed("query_id", blocks).alias("block"))
+    stored = catalogue.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), hashed("vec_id", groups).alias("part"))
+    left = asked.withColumn("part", every(groups)).groupBy("block", "part")
+    right = stored.withColumn("block", every(blocks)).groupBy("block", "part")
+    return _ranked(left.cogroup(right).applyInArrow(partial(_best_of_block, k), "query_id long, vec_id long, similarity double"), k)
+
+
+def _best_of_block(k: int, asked: pa.Table, stored: pa.Table) -> pa.Table:
+    ids, keys = asked["query_id"].to_numpy(), stored["vec_id"].to_numpy()
+    if not len(ids) or not len(keys):
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["query_id", "vec_id", "similarity"])
+    matrix = np.array(asked["query"].to_pylist(), dtype=np.float64)
+    best = np.empty((len(ids), 0))
+    names = np.empty((len(ids), 0), dtype=np.int64)
+    step = max(k, SCORES // len(ids))
+    for i in range(0, len(keys), step):
+        vectors = np.array(stored["embedding"].slice(i, step).to_pylist(), dtype=np.float64)
+        lengths = np.linalg.norm(vectors, axis=1)[:, None]
+        vectors = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
+        found = np.floor(matrix @ vectors.T * 1e6 + 0.5) / 1e6
+        best = np.hstack([best, found])
+        names = np.hstack([names, np.broadcast_to(keys[i : i + step], found.shape)])
+        order = np.lexsort((names, -best), axis=1)[:, :k]
+        best, names = np.take_along_axis(best, order, 1), np.take_along_axis(names, order, 1)
+    return pa.table([np.repeat(ids, best.shape[1]), names.ravel(), best.ravel()], names=["query_id", "vec_id", "similarity"])
 
 
 def nearest_approximate(

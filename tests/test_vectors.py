@@ -43,3 +43,13 @@ def test_approximate_recall(data):
     got = ranks(vectors.nearest_approximate(queries, catalogue, 8))
     hits = sum(len(set(got.get(q, [])) & set(ids)) for q, ids in best.items())
     assert hits / sum(map(len, best.values())) >= 0.9
+
+
+def test_exact_takes_empty_tables_and_many_blocks(data):
+    catalogue, queries, best = data
+    assert vectors.nearest_exact(queries.limit(0), catalogue, 8).collect() == []
+    assert vectors.nearest_exact(queries, catalogue.limit(0), 8).collect() == []
+    found = vectors.nearest_exact(queries, catalogue, 300, 1)
+    assert found.count() == 6 * 240
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
