@@ -13,8 +13,8 @@ from tallyspark.functions.numbers import cents, deviation_pct, from_cents, money
 
 def truth_totals(trades: DataFrame, key: str = "project_id") -> DataFrame:
     """Total of a nested bill: each trade counts its computed total when the field is
-    there, else its expected total, else nothing."""
-    amount = F.coalesce("computed_total", "expected_total", F.lit(0.0))
+    there, a null one as nothing, else its expected total, else nothing."""
+    amount = F.coalesce(F.when(F.col("computed_given"), F.col("computed_total")).otherwise(F.col("expected_total")), F.lit(0.0))
     return trades.groupBy(key).agg(
         sum_money(amount).alias("total"), F.count_if(F.col("trade").isNotNull()).alias("trades")
     )

@@ -462,7 +462,7 @@ def _(t: Tables):
 
 @query(
     "a11_truth_totals",
-    f"""SELECT project_id, {sum_money_sql('coalesce(computed_total, expected_total, 0)')} AS total, CAST(count(*) AS BIGINT) AS trades
+    f"""SELECT project_id, {sum_money_sql('coalesce(CASE WHEN computed_given THEN computed_total ELSE expected_total END, 0)')} AS total, CAST(count(*) AS BIGINT) AS trades
     FROM truth GROUP BY 1""",
     ("truth",),
 )

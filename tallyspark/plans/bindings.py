@@ -366,6 +366,7 @@ class Tables:
         key, amount = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
         computed = (
             F.when(key % 3 == 0, F.lit(""))
+            .when(key % 7 == 0, F.lit('"computed_total":null,'))
             .when(key % 5 == 0, F.lit('"computed_total":0,'))
             .otherwise(F.concat(F.lit('"computed_total":'), amount, F.lit(",")))
         )
@@ -537,10 +538,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "truth": (
         (),
-        """SELECT o_orderkey AS project_id, 'Civil' AS trade, CASE WHEN o_orderkey % 3 = 0 THEN NULL
+        """SELECT o_orderkey AS project_id, 'Civil' AS trade, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN NULL
           WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE floor(o_totalprice) END AS computed_total, floor(o_totalprice + 10) AS expected_total,
-          floor(o_totalprice) AS amount FROM orders
-        UNION ALL SELECT o_orderkey, 'Paint', NULL, 100.0, NULL FROM orders""",
+          floor(o_totalprice) AS amount, o_orderkey % 3 <> 0 AS computed_given FROM orders
+        UNION ALL SELECT o_orderkey, 'Paint', NULL, 100.0, NULL, false FROM orders""",
     ),
 }
 

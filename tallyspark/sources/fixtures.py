@@ -31,13 +31,25 @@ def named_fixtures(spark: SparkSession, path: str, names: list[str], fields: str
 
 
 def parse_truth(text: Column) -> Column:
-    """Nested bill of a reference project from JSON text, or null."""
-    return F.from_json(text, TRUTH)
+    """Nested bill of a reference project from JSON text, or null.
+
+    Each trade tells by `computed_given` whether it has a computed total at all, be it null.
+    """
+    parsed, fields = F.from_json(text, TRUTH), F.from_json(text, "struct<trades:array<map<string,string>>>")
+    given = lambda trade, names: trade.withField(
+        "computed_given", F.coalesce(F.map_contains_key(names, "computed_total"), F.lit(False))
+    )
+    trades = F.zip_with(parsed["trades"], fields["trades"], given)
+    return F.when(parsed.isNotNull(), F.struct(trades.alias("trades")))
 
 
 def truth_trades(documents: DataFrame, key: str = "project_id", truth: str = "truth") -> DataFrame:
-    return documents.select(key, F.posexplode_outer(f"{truth}.trades").alias("trade_no", "t")).select(
-        key, "trade_no", F.col("t.trade").alias("trade"), "t.computed_total", "t.expected_total", "t.items"
+    """One row per trade; where the fields of the JSON are not known, a null computed total counts as absent."""
+    rows = documents.select(key, F.posexplode_outer(f"{truth}.trades").alias("trade_no", "t"))
+    known = "computed_given" in rows.schema["t"].dataType.fieldNames()
+    given = F.coalesce("t.computed_given", F.lit(False)) if known else F.col("t.computed_total").isNotNull()
+    return rows.select(
+        key, "trade_no", F.col("t.trade").alias("trade"), "t.computed_total", "t.expected_total", "t.items", given.alias("computed_given")
     )
 
 

@@ -224,6 +224,16 @@ def test_file_manifest(spark, tmp_path):
     assert problems == {("c.png", "content does not fit type"), ("d.exe", "type not allowed")}
 
 
+def test_null_totals_differ_from_absent_ones(spark):
+    texts = [
+        '{"trades":[{"trade":"Civil","computed_total":null,"expected_total":100},{"trade":"Paint","expected_total":7}]}',
+        '{"trades":[{"trade":"Civil","computed_total":0,"expected_total":100}]}', '{"trades":[]}', "no json", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "project_id long, text string").withColumn("truth", fixtures.parse_truth(F.col("text")))
+    got = {r["project_id"]: r["total"] for r in evaluate.truth_totals(fixtures.truth_trades(docs)).collect()}
+    assert got == {0: 7.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
 def test_nested_fixtures(spark, tmp_path):
     path = tmp_path / "expected.json"
     path.write_text(json.dumps({"clinic": {"rooms": 4, "area": 346}, "office": {"rooms": 5, "area": 450}}, indent=1))
