@@ -395,22 +395,18 @@ def _(t: Tables):
 
 @query(
     "st09_reexpand",
-    f"""SELECT project_id, {sum_money_sql('total')} AS total, CAST(count(*) AS BIGINT) AS lines FROM lines GROUP BY 1""",
-    ("lines",),
+    f"""WITH newer AS (SELECT DISTINCT drawing_id FROM objects WHERE drawing_id % 3 = 0 AND length(label) % 2 = 0)
+    SELECT project_id, {sum_money_sql('total')} AS total, CAST(count(*) AS BIGINT) AS lines FROM lines
+    WHERE drawing_id NOT IN (FROM newer) OR length(label) % 2 = 0 GROUP BY 1""",
+    ("objects", "lines"),
 )
 def _(t: Tables):
-    items = _stream(t, "lineitem")
-    orders = t.raw("orders").select("o_orderkey", "o_custkey")
-    parts = t.raw("part").select("p_partkey", "p_type", "p_name")
-    objects = t.as_objects(
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-            parts, F.col("l_partkey") == F.col("p_partkey")
-        )
-    )
-    # a drawing's objects may come in several files: they are one upload
-    objects = objects.withColumn("upload_id", F.lit(0).cast("long"))
+    """Every drawing is uploaded, then a third of them again with other objects, which replace the first ones."""
+    first = t.objects.withColumn("upload_id", F.lit(0).cast("long"))
+    again = first.where((F.col("drawing_id") % 3 == 0) & (F.length("label") % 2 == 0)).withColumn("upload_id", F.lit(1).cast("long"))
+    uploads = runs.delivered(first.union(again), F.col("upload_id"), first.limit(0), "uploads")
     handle, path = live.expand_batches(t.spark, lambda batch: expand_with(batch, BOUND_RULES), "reexpand")
-    runs.drain(objects, "reexpand", "append", handle)
+    runs.drain(uploads, "reexpand", "append", handle)
     lines = live.current_lines(t.spark, path, t.lines.schema)
     return live.live_totals(lines)
 
