@@ -11,7 +11,7 @@ from tallyspark.plans.bindings import BOUND_RULES, Tables, half_up_sql, money_sq
 from tallyspark.plans.registry import indian_sql, query, stamp, stamp_sql
 from tallyspark.operators.expand import expand_with
 from tallyspark.rules import active_rules, keyword_overrides, literal_table
-from tallyspark.sources import files
+from tallyspark.sources import files, snapshots
 from tallyspark.streaming import deadlines, live, monitors, runs
 
 # ------------------------------------------------------------------ formulas
@@ -383,14 +383,16 @@ def _(t: Tables):
     "SELECT DISTINCT sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents",
 )
 def _(t: Tables):
-    documents = _stream(t, "documents")
-    uploads = documents.select(
+    uploads = t.raw("documents").select(
         F.sha2("text", 256).alias("sha256"),
         F.octet_length("text").cast("long").alias("length"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("ts"),
         F.col("doc_id").alias("path"),
     )
-    return runs.appended(monitors.first_uploads(uploads, "3650 days"), "uploads").drop("ts", "path")
+    stream = runs.delivered(uploads, F.col("path") % 3, uploads.limit(0), "uploads")
+    handle, root = monitors.upload_batches(t.spark, uploads.schema, "uploads", rows_per_bucket=10_000)
+    runs.drain(stream, "uploads", "append", handle)
+    return snapshots.read(t.spark, root, "uploads").select("sha256", "length")
 
 
 @query(

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyspark.session import new_path
+from tallyspark.sources import snapshots
 
 WATERMARK = "5 minutes"
 
@@ -110,3 +116,36 @@ def first_uploads(uploads: DataFrame, delay: str = "60 minutes", spread_by: str
         .dropDuplicatesWithinWatermark(["sha256"])
         .drop("_part")
     )
+
+
+def upload_batches(
+    spark: SparkSession, schema: T.StructType, name: str, root: str | None = None, rows_per_bucket: int = snapshots.ROWS_PER_BUCKET, pieces: int = 8
+) -> tuple[Callable[[DataFrame, int], None], str]:
+    """A batch handler that keeps the first upload of each hash in a store, for as long as the store lasts.
+
+    The stream itself keeps no state. A batch keeps one upload of each hash it brings (the earliest, then the least path), reads
+    the buckets of these hashes, and appends those that are not there; a batch that is replayed appends
+    nothing. A table with a bucket of more than `pieces` appended pieces is written anew, in as many buckets as it needs by then.
+    """
+    root = root or new_path(spark, f"uploads-{name}")
+    if not snapshots.versions(spark, root):
+        commit = snapshots.begin(spark, root)
+        commit.create("uploads", spark.createDataFrame([], schema), "sha256", buckets=1)
+        commit.finish()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        others = [c for c in batch.columns if c not in ("sha256", "ts", "path")]
+        first = batch.groupBy("sha256").agg(F.min(F.struct("ts", "path", *others)).alias("u")).select("sha256", "u.*").select(*batch.columns)
+        first.write.mode("overwrite").parquet(f"{root}/first/batch_id={batch_id}")
+        first = spark.read.schema(batch.schema).parquet(f"{root}/first/batch_id={batch_id}")
+        known = snapshots.read_scope(spark, root, "uploads", first).select(F.col("sha256").alias("known"))
+        commit = snapshots.begin(spark, root)
+        commit.append("uploads", first.join(known, F.col("sha256").eqNullSafe(F.col("known")), "left_anti"))
+        commit.finish()
+        if max(map(len, snapshots.manifest(spark, root)[1]["uploads"].folders.values()), default=0) > pieces:
+            commit = snapshots.begin(spark, root)
+            commit.rebucket("uploads", rows_per_bucket=rows_per_bucket)
+            commit.finish()
+            snapshots.vacuum(spark, root)
+
+    return handle, root

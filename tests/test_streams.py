@@ -127,6 +127,22 @@ def test_uploads_once(spark, tmp_path):
     assert sorted(r["sha256"] for r in got.collect()) == ["a", "b", "c"]
 
 
+def test_uploads_once_however_far_apart(spark):
+    """Repeats of any age are found in the store; a replayed batch adds nothing; appended pieces are merged."""
+    schema = "sha256 string, ts timestamp, path string"
+    batches = [[("a", 9, "p"), ("a", 9, "o"), ("b", 2, "q"), (None, 1, "n")], [("b", 10**7, "t"), ("c", 11, "u")], [("a", 1, "z"), (None, 5, "m")], [("d", 3, "v")], []]
+    handle, root = monitors.upload_batches(spark, at(spark, batches[0], schema).schema, "t", rows_per_bucket=2, pieces=1)
+    for i, rows in enumerate(batches):
+        frame = at(spark, rows, schema)
+        handle(frame, i)
+        handle(frame, i)
+    kept = {r["sha256"]: r["path"] for r in snapshots.read(spark, root, "uploads").collect()}
+    assert kept == {"a": "o", "b": "q", None: "n", "c": "u", "d": "v"}
+    table = snapshots.manifest(spark, root)[1]["uploads"]
+    assert table.buckets > 1 and max(map(len, table.folders.values())) == 1
+    assert snapshots.read(spark, root, "uploads").count() == 5
+
+
 FAILURES = "FFSFFFFSFSFFF"
 
 
