@@ -48,12 +48,17 @@ def plain(texts: list[str | None]) -> list[dict]:
             ids_a, ids_b, raw_a, raw_b = [], [], [], []
         spans_a, spans_b = spans(raw_a), spans(raw_b)
         shared = sorted({e for _, e in spans_a} & {e for _, e in spans_b})
-        groups, start = [], 0
+        groups, starts = [], [0, 0]
         for end in shared:
-            cut = [",".join(str(i) for i, (s, e) in zip(ids, where) if start <= s and e <= end) for ids, where in ((ids_a, spans_a), (ids_b, spans_b))]
+            cut = []
+            for side, (ids, where) in enumerate(((ids_a, spans_a), (ids_b, spans_b))):
+                stop = starts[side]
+                while stop < len(where) and where[stop][1] <= end:
+                    stop += 1
+                cut.append(",".join(map(str, ids[starts[side] : stop])))
+                starts[side] = stop
             groups.append("|".join(cut))
-            start = end
-        links = [(i, j) for i, (s, e) in zip(ids_a, spans_a) for j, (t, f) in zip(ids_b, spans_b) if s < f and t < e] if len(ids_a) < 3000 else None
+        links = [(i, j) for i, (s, e) in zip(ids_a, spans_a) for j, (t, f) in zip(ids_b, spans_b) if s < f and t < e] if len(ids_a) < 300 else None
         if links is None:  # the same by bytes, for long texts
             at_a = [k for k, (s, e) in enumerate(spans_a) for _ in range(e - s)]
             at_b = [k for k, (s, e) in enumerate(spans_b) for _ in range(e - s)]
