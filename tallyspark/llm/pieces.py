@@ -14,14 +14,17 @@ by one. The N best of a text come from the N - 1 units whose second best path
 loses least: any other change could be exchanged for N - 1 better ones. The
 forward pass keeps the two best scores of a position, so it tells what a second
 path loses; the search itself runs for those N - 1 units only. Units that recur
-are kept in a bounded cache.
+are kept in a bounded cache. Memory is bounded by the longest text, some thirty bytes for each
+character of its longest unit; frames are bounded by the length of their texts.
 
 A character without a piece of its own is an edge with the lowest score of all
 pieces less 10, and becomes the pieces of its bytes. So does a mark that is in
 the text itself, and decoding gives every text back, byte for byte. Null and
 empty texts have no pieces and one segmentation of score 0. Of paths with
 equal scores the best is the one with the longest last piece, and so on backwards;
-the others follow by piece numbers. Rows stay rows, whatever repeats.
+the others follow as `n_best` says. Rows stay rows, whatever repeats. An empty table
+gives an empty result. Of further columns, those asked for go through, whatever their
+names, but for those named like a result.
 The vocabulary is given by path and never trained; its size bounds the broadcast.
 """
 
@@ -35,16 +38,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import rows_of, text_or_empty
+from tallyspark.llm.shared import rows_of, text_or_empty, unused
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHED_UNITS = 400_000
-CACHED_PATHS = 50_000
+CACHED_UNITS = 64_000  # of each of two generations; a unit of 64 characters takes 350 to 600 bytes
+CACHED_PATHS = 10_000
 LONGEST_CACHED = 64
+LONGEST_LISTED = 4096
+FRAME_ROWS = 500
+FRAME_SIZE = 4_000_000  # characters or pieces of a frame; a longer row is a frame of its own
+LEAF = ({}, 0.0, None)
 UNKNOWN = -1
 NEVER = -1e300
 BLOCKED = -1e8  # models give such scores to runs of marks, which no merge makes; here they get the lowest other score
@@ -66,82 +73,48 @@ def read_model(path: str) -> tuple[list[tuple[str, float]], int]:
 
 
 class Vocabulary:
-    """Pieces by text and by number. Every beginning of a piece is a key too, so a search knows when to stop."""
+    """Pieces by text, by number, and as a tree of characters, which tells a search when to stop."""
 
     def __init__(self, pieces: Sequence[tuple[str, float]], bytes_at: int):
         self.bytes_at = bytes_at
-        self.edges: dict[str, tuple] = {}
-        for piece, _ in pieces:
-            for i in range(1, len(piece)):
-                self.edges.setdefault(piece[:i], ())
         self.texts = [p.replace(MARK, " ").encode() for p, _ in pieces]  # special ones are empty
         for i in range(256):
             self.texts[bytes_at + i] = bytes([i])
-        scores = []
-        for i, (piece, score) in enumerate(pieces):
+        self.spellings = np.array(self.texts, dtype=object)
+        self.pieces = {piece: (score, i) for i, (piece, score) in enumerate(pieces) if piece}
+        self.longest = max(map(len, self.pieces))
+        self.unknown = min(score for score, _ in self.pieces.values()) - 10
+        # a node: children, score and number of the piece that ends there, if one does; leaves share one dict
+        self.root: dict[str, tuple] = {}
+        for piece, (score, i) in self.pieces.items():
             if re.search(f"[^{MARK}]{MARK}", piece):
                 raise ValueError("a piece has a mark after another character")
-            if piece:
-                self.edges[piece] = (score, i)
-                scores.append(score)
-        self.unknown = min(scores) - 10
-        # the same as a tree of characters: children, score and number of the piece that ends there, if one does
-        self.root: dict[str, list] = {}
-        for text in sorted(self.edges):
             children = self.root
-            for character in text[:-1]:
-                children = children[character][0]
-            score, piece = self.edges[text] or (0.0, None)
-            children[text[-1]] = [{}, score, piece]
+            for character in piece[:-1]:
+                node = children.get(character, LEAF)
+                if node[0] is LEAF[0]:
+                    node = children[character] = ({}, *node[1:])
+                children = node[0]
+            children[piece[-1]] = (children.get(piece[-1], LEAF)[0], score, i)
 
     def spelt(self, character: str) -> tuple[int, ...]:
         return tuple(self.bytes_at + b for b in character.encode("utf-8", "surrogatepass"))
 
     def decode(self, ids: Sequence[int]) -> str:
-        raw = b"".join(map(self.texts.__getitem__, ids))
+        numbers = np.frombuffer(ids, np.int32) if isinstance(ids, array) else np.asarray(ids, np.int32)
+        raw = b"".join(self.spellings[numbers].tolist())
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
-    def lattice(self, unit: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
-        """Best score up to each position, and the edges that end there: begin, score, piece."""
-        n = len(unit)
-        reach = [0.0] + [-np.inf] * n
-        into: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
-        edges = self.edges
-        for begin in range(n):
-            here = reach[begin]
-            single = False
-            for end in range(begin + 1, n + 1):
-                edge = edges.get(unit[begin:end])
-                if edge is None:
-                    break
-                if edge:
-                    score, piece = edge
-                    into[end].append((begin, score, piece))
-                    if here + score > reach[end]:
-                        reach[end] = here + score
-                    single = single or end == begin + 1
-            if not single:
-                into[begin + 1].append((begin, self.unknown, UNKNOWN))
-                if here + self.unknown > reach[begin + 1]:
-                    reach[begin + 1] = here + self.unknown
-        return reach, into
-
-    def written(self, unit: str, path: tuple) -> tuple[int, ...]:
-        """Piece numbers of a path of (piece, begin), characters without a piece spelt in bytes."""
-        ids: list[int] = []
-        for piece, begin in path:
-            ids += self.spelt(unit[begin]) if piece == UNKNOWN else (piece,)
-        return tuple(ids)
-
-    def best(self, unit: str) -> tuple[float, float, tuple[int, ...]]:
-        """Score and pieces of the best path, and by how much the second best is lower (infinite without one)."""
+    def forward(self, unit: str) -> tuple[Sequence[float], Sequence[float], Sequence[int], Sequence[int]]:
+        """The two best scores up to each position, and piece and begin of the last edge of the best path."""
         n = len(unit)
         root, unknown = self.root, self.unknown
-        reach, second = [0.0] + [NEVER] * n, [NEVER] * (n + 1)
-        last: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        nothing = ({}, unknown, UNKNOWN)
+        reach, second, last, since = [0.0] + [NEVER] * n, [NEVER] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        if n > LONGEST_LISTED:
+            reach, second, last, since = array("d", reach), array("d", second), array("i", last), array("i", since)
+        nothing = (LEAF[0], unknown, UNKNOWN)
         for begin in range(n):
-            here, other = reach[begin], second[begin]
+            here = reach[begin]
             end = begin + 1
             children, score, piece = root.get(unit[begin], nothing)
             if piece is None:
@@ -150,10 +123,13 @@ class Vocabulary:
             while True:
                 if piece is not None:
                     through = here + score
-                    if through > reach[end]:
-                        second[end] = max(reach[end], other + score)
+                    so_far = reach[end]
+                    if through > so_far:
+                        other = second[begin] + score
+                        second[end] = so_far if so_far > other else other
                         reach[end] = through
-                        last[end] = (piece, begin)
+                        last[end] = piece
+                        since[end] = begin
                     elif through > second[end]:
                         second[end] = through
                 if end == n or not children:
@@ -163,31 +139,73 @@ class Vocabulary:
                     break
                 end += 1
                 children, score, piece = node
-        ids: list[int] = []
-        end = n
+        return reach, second, last, since
+
+    def traced(self, unit: str, last: Sequence[int], since: Sequence[int]) -> array:
+        """Piece numbers of the best path, characters without a piece spelt in bytes."""
+        ids = array("i")
+        end = len(unit)
         while end:
-            piece, begin = last[end]
-            ids += self.spelt(unit[begin])[::-1] if piece == UNKNOWN else (piece,)
-            end = begin
-        return reach[n], (reach[n] - second[n] if second[n] > NEVER / 2 else np.inf), tuple(ids[::-1])
+            piece, end = last[end], since[end]
+            if piece == UNKNOWN:
+                ids.extend(self.spelt(unit[end])[::-1])
+            else:
+                ids.append(piece)
+        ids.reverse()
+        return ids
+
+    def best(self, unit: str) -> tuple[float, float, tuple[int, ...]]:
+        """Score and pieces of the best path, and by how much the second best is lower (infinite without one)."""
+        top, lost, ids = self.best_path(unit)
+        return top, lost, tuple(ids)
+
+    def best_path(self, unit: str) -> tuple[float, float, array]:
+        reach, second, last, since = self.forward(unit)
+        top, other = reach[-1], second[-1]
+        return top, (top - other if other > NEVER / 2 else np.inf), self.traced(unit, last, since)
+
+    def edges_into(self, unit: str, end: int) -> Iterator[tuple[int, float, int]]:
+        """The edges of the lattice that end at a position: begin, score, piece."""
+        for begin in range(max(0, end - self.longest), end):
+            edge = self.pieces.get(unit[begin:end])
+            if edge:
+                yield begin, *edge
+            elif begin == end - 1:
+                yield begin, self.unknown, UNKNOWN
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths of a unit: A-star from its end, guided by the forward scores."""
-        reach, into = self.lattice(unit)
-        queue: list[tuple[float, tuple, int, float]] = [(-reach[-1], (), len(unit), 0.0)]
-        found = []
+        """The n best paths of a unit: A-star from its end, guided by the forward scores.
+
+        Entries of the queue are ends of paths. No path has two of them, and each
+        promises a path of just its score, so with k paths still to be found the k
+        best entries suffice: the queue stays as short as n. An entry points to the
+        one that it prolongs. Of equal scores, the entry nearest to the begin goes
+        first, then the smaller piece, then the older.
+        """
+        reach, _, last, since = self.forward(unit)
+        queue: list[tuple] = [(-reach[-1], len(unit), UNKNOWN, 0, 0.0, None)]
+        found, made = [], 0
         while queue and len(found) < n:
-            _, path, end, behind = heapq.heappop(queue)
+            _, end, _, _, behind, path = heapq.heappop(queue)
             if end == 0:
                 found.append((behind, self.written(unit, path)))
                 continue
-            for begin, score, piece in into[end]:
-                heapq.heappush(
-                    queue, (-(reach[begin] + score + behind), ((piece, begin), *path), begin, score + behind)
-                )
+            for begin, score, piece in self.edges_into(unit, end):
+                made += 1
+                total = score + behind
+                heapq.heappush(queue, (-(reach[begin] + total), begin, piece, made, total, (piece, begin, path)))
+            queue = heapq.nsmallest(n - len(found), queue)  # sorted, so still a heap
         # of equally good best paths the one that encoding takes is the first
-        top, _, ids = self.best(unit)
-        return [(top, ids), *[f for f in found if f[1] != ids]][:n]
+        ids = tuple(self.traced(unit, last, since))
+        return [(reach[-1], ids), *[f for f in found if f[1] != ids]][:n]
+
+    def written(self, unit: str, path: tuple | None) -> tuple[int, ...]:
+        """Piece numbers of a path of (piece, begin, rest)."""
+        ids: list[int] = []
+        while path:
+            piece, begin, path = path
+            ids += self.spelt(unit[begin]) if piece == UNKNOWN else (piece,)
+        return tuple(ids)
 
 
 def units_of(text: str) -> list[str]:
@@ -205,21 +223,29 @@ def units_of(text: str) -> list[str]:
 
 
 class Encoder(dict):
-    """Unit → (score, loss of the second path, piece numbers as bytes); emptied when full."""
+    """Unit → (score, loss of the second path, piece numbers as bytes).
+
+    Kept in two generations: when the younger is full the elder is forgotten, and
+    units that are met again come back from the elder, so frequent ones stay.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.elder: dict[str, tuple[float, float, bytes]] = {}
         self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def __missing__(self, unit: str) -> tuple[float, float, bytes]:
-        if unit == "":
-            top, lost, ids = self.vocabulary.unknown, np.inf, self.vocabulary.spelt(MARK)
-        else:
-            top, lost, ids = self.vocabulary.best(unit)
-        entry = (top, lost, array("i", ids).tobytes())
+        entry = self.elder.get(unit)
+        if entry is None:
+            if unit == "":
+                entry = (self.vocabulary.unknown, np.inf, array("i", self.vocabulary.spelt(MARK)).tobytes())
+            else:
+                top, lost, ids = self.vocabulary.best_path(unit)
+                entry = (top, lost, ids.tobytes())
         if len(unit) <= LONGEST_CACHED:
             if len(self) >= CACHED_UNITS:
+                self.elder = dict(self)
                 self.clear()
             self[unit] = entry
         return entry
@@ -240,13 +266,17 @@ class Encoder(dict):
                 self.searched[unit, n] = found
         return found
 
-    def changes(self, units: list[str], losses: list[float], n: int) -> list[tuple[float, tuple]]:
+    def changes(self, units: list[str], losses: Sequence[float], n: int) -> list[tuple[float, tuple]]:
         """The n least losses of a text, each with the (place, rank, pieces) of the units that do not take their best path."""
-        first = heapq.nsmallest(n - 1, range(len(units)), key=losses.__getitem__)
+        rest, first = list(losses), []
+        for _ in range(min(n - 1, len(rest))):
+            least = min(rest)
+            if least == np.inf:
+                break
+            first.append(rest.index(least))
+            rest[first[-1]] = np.inf
         found: list[tuple[float, tuple]] = [(0.0, ())]
         for place in sorted(first):
-            if losses[place] == np.inf:
-                continue
             paths = self.paths(units[place], n)
             ranked = [
                 (paths[0][0] - score, ((place, rank, ids),) if rank else ()) for rank, (score, ids) in enumerate(paths)
@@ -257,16 +287,18 @@ class Encoder(dict):
     def ranked(self, text: str, n: int) -> list[tuple[float, array]]:
         """Scores and piece numbers of the n best segmentations of a text."""
         units = units_of(text)
-        entries = list(map(self.__getitem__, units))
-        top = sum([e[0] for e in entries])
-        parts = [e[2] for e in entries]
+        if not units:
+            return [(0.0, array("i"))]
+        scores, losses, parts = zip(*map(self.__getitem__, units), strict=True)
+        top, own = sum(scores), list(parts)
         found = []
-        for lost, changed in self.changes(units, [e[1] for e in entries], n) if n > 1 else [(0.0, ())]:
-            own = parts.copy() if changed else parts
+        for lost, changed in self.changes(units, losses, n) if n > 1 else [(0.0, ())]:
             for place, _, ids in changed:
                 own[place] = ids
             numbers = array("i")
             numbers.frombytes(b"".join(own))
+            for place, _, _ in changed:
+                own[place] = parts[place]
             found.append((top - lost, numbers))
         return found
 
@@ -279,22 +311,23 @@ def encoded(
     docs: DataFrame, model_path: str, columns: Sequence[str] = ("doc_id",), text_column: str = "text", n: int = 1
 ) -> DataFrame:
     """The given columns with `pieces` (numbers of the best segmentation), `scores` of the n best, `n_pieces`, and
-    `others`, the numbers of the second to n-th."""
+    `others`, the numbers of the second to n-th. Given columns of these names are left out."""
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    kept = docs.select(*[F.col(c) for c in columns], text_or_empty(text_column).alias("_text"))
+    results = "pieces array<int>, scores array<double>, n_pieces int, others array<array<int>>"
+    kept, schema, work = _kept(docs, columns, text_or_empty(text_column), results)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(Vocabulary(*sent.value))
-        for rows in rows_of(batches, 500):
-            found = [encoder.ranked(t, n) for t in rows["_text"]]
-            yield rows.drop(columns="_text").assign(
+        for rows in _frames(batches, work):
+            found = [encoder.ranked(t, n) for t in rows[work]]
+            yield rows.drop(columns=work).assign(
                 pieces=[np.frombuffer(f[0][1], dtype=np.int32) for f in found],
                 scores=[[score for score, _ in f] for f in found],
                 n_pieces=[len(f[0][1]) for f in found],
                 others=[[np.frombuffer(ids, dtype=np.int32) for _, ids in f[1:]] for f in found],
             )
 
-    return kept.mapInPandas(encode, _schema(kept) + "pieces array<int>, scores array<double>, n_pieces int, others array<array<int>>")
+    return kept.mapInPandas(encode, schema)
 
 
 def encoding_report(
@@ -303,40 +336,58 @@ def encoding_report(
     """As `encoded`, with the SHA-256 of the piece numbers (four bytes each, low byte first) in their place, and
     whether they decode to the very text; `all_sha256` and `all_round_trip` say so for each of the n best."""
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    kept = docs.select(*[F.col(c) for c in columns], text_or_empty(text_column).alias("_text"))
+    results = (
+        "n_pieces long, scores array<double>, pieces_sha256 string, round_trip boolean, "
+        "all_sha256 array<string>, all_round_trip array<boolean>"
+    )
+    kept, schema, work = _kept(docs, columns, text_or_empty(text_column), results)
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(Vocabulary(*sent.value))
-        for rows in rows_of(batches, 500):
+        for rows in _frames(batches, work):
             found = []
-            for text in rows["_text"]:
+            for text in rows[work]:
                 ranked = encoder.ranked(text, n)
-                digests = [hashlib.sha256(np.frombuffer(ids, dtype="<i4").tobytes()).hexdigest() for _, ids in ranked]
+                digests = [hashlib.sha256(np.frombuffer(ids, dtype="<i4")).hexdigest() for _, ids in ranked]
                 back = [encoder.vocabulary.decode(ids) == text for _, ids in ranked]
                 found.append((len(ranked[0][1]), [score for score, _ in ranked], digests[0], back[0], digests, back))
             names = ("n_pieces", "scores", "pieces_sha256", "round_trip", "all_sha256", "all_round_trip")
-            yield rows.drop(columns="_text").assign(**{c: [f[i] for f in found] for i, c in enumerate(names)})
+            yield rows.drop(columns=work).assign(**{c: [f[i] for f in found] for i, c in enumerate(names)})
 
-    return kept.mapInPandas(
-        report,
-        _schema(kept) + "n_pieces long, scores array<double>, pieces_sha256 string, round_trip boolean, "
-        "all_sha256 array<string>, all_round_trip array<boolean>",
-    )
+    return kept.mapInPandas(report, schema)
 
 
 def decoded(encodings: DataFrame, model_path: str, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The given columns with the `text` of `pieces`; null pieces give an empty text."""
     sent = encodings.sparkSession.sparkContext.broadcast(read_model(model_path))
-    kept = encodings.select(*[F.col(c) for c in columns], F.coalesce("pieces", F.array().cast("array<int>")).alias("_pieces"))
+    kept, schema, work = _kept(
+        encodings, columns, F.coalesce("pieces", F.array().cast("array<int>")), "text string"
+    )
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(*sent.value)
-        for rows in batches:
-            yield rows.drop(columns="_pieces").assign(text=[vocabulary.decode(ids) for ids in rows["_pieces"]])
-
-    return kept.mapInPandas(decode, _schema(kept) + "text string")
-
-
-def _schema(kept: DataFrame) -> str:
-    """Types of the columns that go through, as text that ends in a comma."""
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if not f.name.startswith("_"))
+        for rows in _frames(batches, work):
+            yield rows.drop(columns=work).assign(text=[vocabulary.decode(ids) for ids in rows[work]])
+
+    return kept.mapInPandas(decode, schema)
+
+
+def _kept(docs: DataFrame, columns: Sequence[str], worked_on: Column, results: str) -> tuple[DataFrame, str, str]:
+    """The given columns but those named like a result, with the one that is worked on; the schema of both; its name."""
+    made = {part.split()[0] for part in results.split(", ")}
+    through = docs.select(*[F.col(f"`{c}`") for c in columns if c.lower() not in made])
+    work = unused(through.columns, "_work")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in through.schema) + results
+    return docs.select(*[F.col(f"`{c}`") for c in through.columns], worked_on.alias(work)), schema, work
+
+
+def _frames(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of bounded size."""
+    for rows in rows_of(batches, FRAME_ROWS):
+        begin = size = 0
+        for i, length in enumerate(map(len, rows[column])):
+            size += length
+            if i > begin and size > FRAME_SIZE:
+                yield rows.iloc[begin:i]
+                begin, size = i, length
+        yield rows.iloc[begin:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,14 @@ def small(frame: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= most else frame
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """The name, made longer until no column has it; Spark's names ignore case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

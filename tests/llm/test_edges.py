@@ -406,7 +406,9 @@ def test_pieces(docs, none):
 
 
 def test_n_best_of_a_lattice():
-    vocabulary = pieces.Vocabulary(*pieces.read_model(queries.tokenizer_path()))
+    read = pieces.read_model(queries.tokenizer_path())
+    vocabulary = pieces.Vocabulary(*read)
+    edges = {piece: (score, i) for i, (piece, score) in enumerate(read[0]) if piece}
     random = np.random.default_rng(2)
 
     def all_paths(unit):
@@ -418,7 +420,7 @@ def test_n_best_of_a_lattice():
                 return
             single = False
             for k in range(i + 1, len(unit) + 1):
-                edge = vocabulary.edges.get(unit[i:k])
+                edge = edges.get(unit[i:k])
                 if edge:
                     single = single or k == i + 1
                     walk(k, [*ids, edge[1]], score + edge[0])

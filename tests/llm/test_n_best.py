@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import resource
 
 import numpy as np
 
@@ -39,3 +40,31 @@ def test_query_digests_every_rank(spark):
         ranks = [(r.best_score, r.pieces_sha256), (r.second_score, r.second_sha256), (r.third_score, r.third_sha256)]
         assert all((s is None) == (d is None) for s, d in ranks)
         assert len({d for _, d in ranks if d}) == sum(d is not None for _, d in ranks)
+
+
+def test_one_unit_of_a_million_characters():
+    vocabulary = pieces.Vocabulary(*pieces.read_model(queries.tokenizer_path()))
+    text = "".join(np.random.default_rng(5).choice(list("theranionsQ9é漢"), 1_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ranked = pieces.Encoder(vocabulary).ranked(text, 3)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 400_000  # KB
+    assert len(ranked) == 3 and all(vocabulary.decode(ids) == text for _, ids in ranked)
+    assert ranked[0][0] >= ranked[1][0] >= ranked[2][0] and len({ids.tobytes() for _, ids in ranked}) == 3
+
+
+def test_equal_letters_in_one_unit():
+    vocabulary = pieces.Vocabulary(*pieces.read_model(queries.tokenizer_path()))
+    ranked = pieces.Encoder(vocabulary).ranked("x" * 20_000, 3)
+    assert len({ids.tobytes() for _, ids in ranked}) == 3 and all(vocabulary.decode(ids) == "x" * 20_000 for _, ids in ranked)
+
+
+def test_clashing_names(spark):
+    path = queries.tokenizer_path()
+    names = ["_work", "_Work_", "_text", "`pieces`", "scores", "text"]
+    docs = spark.createDataFrame([(1, "a", "b", "c", "d", "e", "the rain")], "doc_id long, " + ", ".join(f"{n} string" for n in names))
+    columns = ("doc_id", "_work", "_Work_", "_text", "pieces", "scores")
+    coded = pieces.encoded(docs, path, columns)
+    assert coded.columns == ["doc_id", "_work", "_Work_", "_text", "pieces", "scores", "n_pieces", "others"]
+    back = pieces.decoded(coded, path, ("doc_id", "_work", "_Work_", "_text")).collect()
+    assert [tuple(r) for r in back] == [(1, "a", "b", "c", "the rain")]
+    assert pieces.encoding_report(docs, path, columns).filter("round_trip").count() == 1
