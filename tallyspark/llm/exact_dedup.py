@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import SPACE, stored, text_or_empty
+from tallyspark.llm.shared import SPACE, stored, text_or_empty, unused
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -69,21 +69,24 @@ def groups_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that stay, one of each group, with their own columns."""
+    keep_id, keep_text, keep_points, keep_rows = (
+        unused(docs.columns, f"_keep_{c}") for c in ("id", "text", "points", "rows")
+    )
     keep = (
         groups_of(docs, id_column, text_column)
         .filter("kept")
-        .groupBy(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_text"))
-        .agg(F.max("n_points").alias("_keep_points"), F.count("*").alias("_keep_rows"))
+        .groupBy(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_text))
+        .agg(F.max("n_points").alias(keep_points), F.count("*").alias(keep_rows))
     )
     text = text_or_empty(text_column)
     # The rows that stay are found by id; the content tells rows apart that share an id.
     found = docs.join(
         keep,
-        F.col(id_column).eqNullSafe(F.col("_keep_id"))
-        & (F.length(text) == F.col("_keep_points"))
-        & (F.sha2(F.regexp_replace(text, SPACE, ""), 256) == F.col("_keep_text")),
+        F.col(id_column).eqNullSafe(F.col(keep_id))
+        & (F.length(text) == F.col(keep_points))
+        & (F.sha2(F.regexp_replace(text, SPACE, ""), 256) == F.col(keep_text)),
     )
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = found.filter("_keep_rows = 1").select(*columns)
-    repeated = found.filter("_keep_rows > 1").dropDuplicates(["_keep_id", "_keep_text"]).select(*columns)
+    single = found.filter(F.col(keep_rows) == 1).select(*columns)
+    repeated = found.filter(F.col(keep_rows) > 1).dropDuplicates([keep_id, keep_text]).select(*columns)
     return single.unionByName(repeated)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components, spanning_forest
-from tallyspark.llm.shared import rows_of, small, stored, text_or_empty
+from tallyspark.llm.shared import rows_of, small, stored, text_or_empty, unused
 
 MOST_MATCHES = 4
 SURPLUS = 1.5
@@ -281,7 +281,66 @@ def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id. Sets link when 100 * intersection >= percent * union."""
-    texts = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
+    return _grouped(docs, size, percent, id_column, text_column).select("doc_id", "n_shingles", "component_id")
+
+
+def deduplicate(
+    docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """One row of each component, with its own columns: that with the least id, ids before null, then the least set.
+
+    Rows without words all stay. An id that several rows bear does not tell which
+    of them is meant: there the sets do, and of rows alike in id and set one stays.
+    """
+    groups = stored(_grouped(docs, size, percent, id_column, text_column), "jaccard-members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_a", "set_b")
+    least = groups.filter("part IS NOT NULL").groupBy("part").agg(F.min(order).alias("least")).select("least.*").drop("no_id")
+    least = stored(least, "jaccard-least")
+    id_name, rows_name, text_name, of = (unused(docs.columns, f"_near_{c}") for c in ("id", "rows", "text", "of"))
+    borne = groups.groupBy("doc_id").agg(F.count("*").alias(rows_name), F.count("part").alias("filled"))
+    meant = least.select(F.col("doc_id").alias("least_id")).distinct().withColumn("meant", F.lit(True))
+    borne = borne.join(meant, F.col("doc_id").eqNullSafe(F.col("least_id")), "left").filter(
+        F.col("meant") | (F.col("filled") < F.col(rows_name))
+    )
+    ids = stored(borne.select(F.col("doc_id").alias(id_name), rows_name), "jaccard-stay")
+    this_id = F.col(f"`{id_column}`")
+    single = docs.join(ids.filter(F.col(rows_name) == 1), this_id.eqNullSafe(F.col(id_name)), "left_semi")
+
+    text = text_or_empty(f"`{text_column}`")
+    several = docs.join(small(ids.filter(F.col(rows_name) > 1)), this_id.eqNullSafe(F.col(id_name)), "left_semi")
+    several = several.withColumn(text_name, F.md5(text))
+    sets = stored(_digests(several.select(F.col(text_name).alias("content"), text.alias("text")), size).distinct(), "jaccard-several")
+    empty = several.join(sets.filter("n = 0").select(F.col("content").alias(of)), F.col(text_name) == F.col(of), "left_semi")
+    named = sets.filter("n > 0").select("content", F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    kept = named.join(least, (F.col("a") == F.col("set_a")) & (F.col("b") == F.col("set_b"))).groupBy("doc_id", "set_a", "set_b").agg(
+        F.min("content").alias("content")  # of unlike texts with one set under one id, one
+    )
+    found = several.join(
+        kept.select(F.col("content").alias(of), F.col("doc_id").alias(id_name)),
+        (F.col(text_name) == F.col(of)) & this_id.eqNullSafe(F.col(id_name)),
+    )
+    found = found.dropDuplicates([id_name, text_name])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return single.unionByName(empty.select(*columns)).unionByName(found.select(*columns))
+
+
+def _digests(texts: DataFrame, size: int) -> DataFrame:
+    """Digest and number of shingles of each row's text, with its `content`."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in rows_of(batches, 500):
+            own = [shingles(t, size) for t in rows["text"]]
+            digests = [np.frombuffer(xxhash.xxh3_128_digest(o.tobytes()), np.int64) for o in own]
+            yield pd.DataFrame(
+                {"content": rows["content"].tolist(), "set_a": [d[0] for d in digests], "set_b": [d[1] for d in digests], "n": [o.size for o in own]}
+            )
+
+    return texts.mapInPandas(build, "content string, set_a long, set_b long, n long")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """The rows of `near_duplicates`, with the digest of their set and the key of their component, null without words."""
+    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_or_empty(f"`{text_column}`").alias("text"))
     rows = stored(_sets(texts, size, percent).withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
     filled = rows.filter("n > 0")
     # one row of each set, found before anything is paired
@@ -358,7 +417,11 @@ def near_duplicates(
         .select("set_a", "set_b", "least_id", F.coalesce("component", "rid").alias("part"))
     )
     names = least.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    named_sets = least.join(names, "part").select("set_a", "set_b", "component_id")
+    named_sets = least.join(names, "part").select("set_a", "set_b", "component_id", "part")
     linked = filled.select("doc_id", "n", "set_a", "set_b").join(named_sets, ["set_a", "set_b"])
-    alone = rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(alone)
+    names = [F.col("n").cast("long").alias("n_shingles"), "component_id", "set_a", "set_b", "part"]
+    alone = rows.filter("n = 0").select(
+        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+        "set_a", "set_b", F.lit(None).cast("long").alias("part"),
+    )
+    return linked.select("doc_id", *names).unionByName(alone)

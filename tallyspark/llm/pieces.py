@@ -143,16 +143,15 @@ class Vocabulary:
 
     def traced(self, unit: str, last: Sequence[int], since: Sequence[int]) -> array:
         """Piece numbers of the best path, characters without a piece spelt in bytes."""
-        ids = array("i")
+        ids: list[int] = []
         end = len(unit)
         while end:
             piece, end = last[end], since[end]
             if piece == UNKNOWN:
-                ids.extend(self.spelt(unit[end])[::-1])
+                ids += self.spelt(unit[end])[::-1]
             else:
                 ids.append(piece)
-        ids.reverse()
-        return ids
+        return array("i", ids[::-1])
 
     def best(self, unit: str) -> tuple[float, float, tuple[int, ...]]:
         """Score and pieces of the best path, and by how much the second best is lower (infinite without one)."""
@@ -229,9 +228,10 @@ class Encoder(dict):
     units that are met again come back from the elder, so frequent ones stay.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, cached_units: int = CACHED_UNITS):
         super().__init__()
         self.vocabulary = vocabulary
+        self.most = cached_units
         self.elder: dict[str, tuple[float, float, bytes]] = {}
         self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
@@ -244,7 +244,7 @@ class Encoder(dict):
                 top, lost, ids = self.vocabulary.best_path(unit)
                 entry = (top, lost, ids.tobytes())
         if len(unit) <= LONGEST_CACHED:
-            if len(self) >= CACHED_UNITS:
+            if len(self) >= self.most:
                 self.elder = dict(self)
                 self.clear()
             self[unit] = entry
@@ -308,7 +308,8 @@ class Encoder(dict):
 
 
 def encoded(
-    docs: DataFrame, model_path: str, columns: Sequence[str] = ("doc_id",), text_column: str = "text", n: int = 1
+    docs: DataFrame, model_path: str, columns: Sequence[str] = ("doc_id",), text_column: str = "text", n: int = 1,
+    cached_units: int = CACHED_UNITS,
 ) -> DataFrame:
     """The given columns with `pieces` (numbers of the best segmentation), `scores` of the n best, `n_pieces`, and
     `others`, the numbers of the second to n-th. Given columns of these names are left out."""
@@ -317,7 +318,7 @@ def encoded(
     kept, schema, work = _kept(docs, columns, text_or_empty(text_column), results)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(Vocabulary(*sent.value))
+        encoder = Encoder(Vocabulary(*sent.value), cached_units)
         for rows in _frames(batches, work):
             found = [encoder.ranked(t, n) for t in rows[work]]
             yield rows.drop(columns=work).assign(
@@ -331,7 +332,8 @@ def encoded(
 
 
 def encoding_report(
-    docs: DataFrame, model_path: str, columns: Sequence[str] = ("doc_id",), text_column: str = "text", n: int = 3
+    docs: DataFrame, model_path: str, columns: Sequence[str] = ("doc_id",), text_column: str = "text", n: int = 3,
+    cached_units: int = CACHED_UNITS,
 ) -> DataFrame:
     """As `encoded`, with the SHA-256 of the piece numbers (four bytes each, low byte first) in their place, and
     whether they decode to the very text; `all_sha256` and `all_round_trip` say so for each of the n best."""
@@ -343,7 +345,7 @@ def encoding_report(
     kept, schema, work = _kept(docs, columns, text_or_empty(text_column), results)
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(Vocabulary(*sent.value))
+        encoder = Encoder(Vocabulary(*sent.value), cached_units)
         for rows in _frames(batches, work):
             found = []
             for text in rows[work]:

@@ -146,7 +146,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_pieces")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    report = pieces.encoding_report(table(spark, folder, "documents"), tokenizer_path(), n=3)
+    report = pieces.encoding_report(table(spark, folder, "documents"), tokenizer_path(), n=3, cached_units=200_000)
     return report.select(
         "doc_id",
         "n_pieces",

@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import WORD, stored, text_or_empty
+from tallyspark.llm.shared import WORD, small, stored, text_or_empty, unused
 
 DIGITS = 3  # hexadecimal digits of a range: 4096 ranges a level
 
@@ -172,28 +172,42 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     A repetition that is taken in part is a row when that part is at least half
     of the document. Documents without words are taken as often as their source
-    is taken whole, once at least.
+    is taken whole, once at least. Rows that share id, source and size (null ids
+    are such) share what is taken of them in part: each of their texts is taken
+    once more for so many of its rows, its seeded hash rounding up or down, and
+    of rows alike in text too the repeated one is the least as JSON.
     """
     id_column = settings.get("id_column", "doc_id")
     source_column = settings.get("source_column", "source")
     text_column = settings.get("text_column", "text")
+    names = {c: unused(docs.columns, f"_mix_{c}") for c in ("id", "source", "size", "times", "part", "rows", "row")}
     taken = (
         mix(docs, **settings)
-        .groupBy("doc_id", "source", "size")
-        .agg(F.max("whole").alias("whole"), F.max("part").alias("part"))
+        .groupBy(*[F.col(c).alias(names[k]) for c, k in (("doc_id", "id"), ("source", "source"), ("size", "size"))])
+        .agg(F.max("whole").alias("whole"), F.sum("part").alias(names["part"]), F.count("*").alias(names["rows"]))
     )
-    times = F.when(F.col("size") == 0, F.greatest(F.col("whole"), F.lit(1))).otherwise(
-        F.col("whole") + (2 * F.col("part") >= F.col("size")).cast("long")
+    size, part, rows = (F.col(names[c]) for c in ("size", "part", "rows"))
+    times = F.when(size == 0, F.greatest(F.col("whole"), F.lit(1))).otherwise(
+        F.col("whole") + ((rows == 1) & (2 * part >= size)).cast("long")
     )
-    again = taken.filter(times > 0).select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
-        times.cast("int").alias("_mix_times"),
-    )
-    found = docs.join(
-        again,
-        F.col(id_column).eqNullSafe(F.col("_mix_id"))
-        & F.col(source_column).eqNullSafe(F.col("_mix_source"))
-        & (F.regexp_count(text_or_empty(text_column), F.lit(WORD)) == F.col("_mix_size")),
+    taken = taken.withColumn(names["times"], times.cast("int")).drop("whole")
+    taken = stored(taken.filter((F.col(names["times"]) > 0) | ((rows > 1) & (part > 0))), "mix-times")
+    same = (
+        F.col(f"`{id_column}`").eqNullSafe(F.col(names["id"]))
+        & F.col(f"`{source_column}`").eqNullSafe(F.col(names["source"]))
+        & (F.regexp_count(text_or_empty(text_column), F.lit(WORD)) == size)
     )
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_mix_times"))).alias("_mix_row")).select(*columns)
+    found = docs.join(taken.filter(F.col(names["times"]) > 0), same)
+    whole = found.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col(names["times"]))).alias(names["row"])).select(*columns)
+
+    shared = small(taken.filter((rows > 1) & (part > 0)))
+    content = F.md5(F.concat(F.lit(settings.get("seed", "mix")), text_or_empty(text_column)))
+    keys = [F.col(names[c]) for c in ("id", "source", "size", "part", "rows")]
+    alike = docs.join(shared, same).groupBy(*keys, content.alias("content")).agg(
+        F.count("*").alias("n"), F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("row")
+    )
+    up = F.conv(F.substring("content", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    more = F.least(F.col("n"), F.floor(F.col("n") * part / (size * rows) + up)).cast("int")
+    again = alike.select("row", F.explode(F.array_repeat(F.lit(0), more)).alias("copy")).select("row.*")
+    return whole.unionByName(again)
